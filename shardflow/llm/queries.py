@@ -6,7 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardflow.llm.common import read
+from shardflow.llm.line_dedup import dedup_lines
 from shardflow.llm.url_filter import Rule, filter_urls
+from shardflow.llm.warc import round_trip
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose keys ten documents share."""
+    cleaned = dedup_lines(read(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    left = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", left.alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+l AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS n FROM s),
+k AS (SELECT doc_id, n, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT k.doc_id, count(*)::BIGINT AS n_lines, count(c.key)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN c ON k.key = c.key GROUP BY k.doc_id
+""".replace("\\\\", "\\")
+
 
 URL_RULES = [
     Rule("block", "com", "/en/"),
@@ -48,5 +69,24 @@ SELECT page_id, host, path, rule, CASE
 FROM r
 """
 
-QUERIES = {"op9_url_filter": op9_url_filter}
-ORACLE = {"op9_url_filter": OP9_SQL}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives that are normalised, and its record as read back."""
+    return round_trip(read(spark, sf_dir, "pages"), min_bytes=0)
+
+
+# Base 32 has no SQL function: 40 groups of 5 bits are taken from the hex digest.
+OP10_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha1(b) AS h FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h, n) AS first FROM d),
+e AS (SELECT *, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + (('0x' || substr(h, 1 + i * 5 // 4, 1) || coalesce(nullif(substr(h, 2 + i * 5 // 4, 1), ''), '0'))::BIGINT
+    // (1 << (3 - (i * 5) % 4)) % 32)::INT, 1) FOR i IN range(32)], '') AS digest FROM f)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM e
+"""
+
+
+QUERIES = {"op7_line_dedup": op7_line_dedup, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
+ORACLE = {"op7_line_dedup": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}
