@@ -7,9 +7,17 @@ from pyspark.sql import functions as F
 
 from shardflow.llm.common import read
 from shardflow.llm.line_dedup import dedup_lines
+from shardflow.llm.quality_rules import filter_quality
 from shardflow.llm.url_filter import Rule, filter_urls
 from shardflow.llm.warc import round_trip
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its measures and the verdict of the adaptive rules."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return filter_quality(docs).select(*columns)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines whose keys ten documents share."""
     cleaned = dedup_lines(read(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
@@ -88,5 +96,5 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
 """
 
 
-QUERIES = {"op7_line_dedup": op7_line_dedup, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op7_line_dedup": op7_line_dedup, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
 ORACLE = {"op7_line_dedup": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}
