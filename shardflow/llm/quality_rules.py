@@ -22,12 +22,11 @@ from shardflow.llm.common import stored
 
 _WHITE = r"[\x20\x09-\x0D]+"
 _MARKS = "#*$%&|<>"
-#: Ratios whose fences decide, with the least spread a fence has on each side, and what a ratio has at most or at
-#: least before it counts as extreme at all.
+#: Ratios whose fences decide: the least quartile distance that a fence is built on, and whether low values count.
 RATIOS = {
     "word_length": {"spread": 1.0, "low": True},
     "symbol_ratio": {"spread": 0.1, "low": False},
-    "dup_line_ratio": {"spread": 0.1, "low": False},
+    "dup_line_ratio": {"spread": 0.2, "low": False},
     "repeat_ratio": {"spread": 0.1, "low": False},
 }
 
@@ -49,8 +48,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         x -> x.twice), x -> x.at))"""
     out = out.withColumn("_at", F.expr(f"CASE WHEN _again THEN {at} ELSE array() END"))
     covered = "transform(_at, (p, i) -> CASE WHEN i = 0 THEN 3 ELSE least(3, p - _at[greatest(i - 1, 0)]) END)"
-    return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+    measures = F.struct(
         F.col("_n").cast("long").alias("n_words"),
         F.length(F.translate(t, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, _MARKS, ""))).cast("long").alias("n_symbols"),
@@ -58,6 +56,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.expr(f"CAST(aggregate({covered}, 0, (a, x) -> a + x) AS BIGINT)").alias("n_repeat_words"),
         F.size("_lines").alias("_n_lines"),
     )
+    # as the row of a generator: later filters on a measure then look at its value and don't compute it again
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return out.select(*kept, F.inline(F.array(measures)))
 
 
 def _ratios() -> dict[str, Column]:
@@ -72,13 +73,13 @@ def _ratios() -> dict[str, Column]:
 
 def thresholds(measured: DataFrame, lang: str, source: str, min_group: int, width: float, k: int) -> DataFrame:
     """A row for each (lang, source) with the fences of each ratio, from mergeable sketches."""
-    sketches = [F.kll_sketch_agg_double(r, F.lit(k)).alias(r) for r in RATIOS]
+    sketches = [F.kll_sketch_agg_double(F.col(r), F.lit(k)).alias(r) for r in RATIOS]
     by_source = measured.groupBy(F.col(lang).alias("_lang"), F.col(source).alias("_source")).agg(F.count("*").alias("n"), *sketches)
 
     def merged(df: DataFrame, *keys: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(r, F.lit(k)).alias(r) for r in RATIOS])
 
-    def fences(df: DataFrame, prefix: str) -> list[Column]:
+    def fences(df: DataFrame, prefix: str) -> DataFrame:
         out = [F.col("n").alias(f"{prefix}n")]
         for r, rule in RATIOS.items():
             quarter = [F.kll_sketch_get_quantile_double(r, F.lit(q)) for q in (0.25, 0.75)]
