@@ -109,6 +109,38 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.searchsorted(start, offsets)
 
 
+_RUN_CLASS = np.full(256, 2, np.uint8)  # 0 white space, 1 letters and digits (all bytes of other scripts), 2 marks
+_RUN_CLASS[_IS_WHITE] = 0
+_RUN_CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+
+
+def run_hashes(data: np.ndarray, offsets: np.ndarray, marks: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of letters and digits (with ``marks`` those of other signs too), A-Z lower-cased, and for
+    each text the range of its runs."""
+    kind = _RUN_CLASS[data]
+    change = np.ones(len(data) + 1, bool)
+    change[1:-1] = kind[1:] != kind[:-1]
+    change[offsets] = True
+    at = np.flatnonzero(change)
+    start, end = at[:-1], at[1:]
+    use = kind[start] >= 1 if marks else kind[start] == 1
+    start, end = start[use], end[use]
+    return hash_spans(_LOWER[data], start, end), np.searchsorted(start, offsets)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, doc_id: str = "doc_id") -> DataFrame:
+    """Documents with their label, for at most about ``max_rows`` labelled documents, chosen by a hash of the id.
+
+    The labels of that bounded sample are broadcast; documents are not shuffled.  A document that is labelled
+    more than once has its largest label; null labels are left out.
+    """
+    one = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).alias("_label"))
+    n = one.count()
+    if n > max_rows:
+        one = one.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
+    return docs.join(F.broadcast(one), F.col(doc_id) == F.col("_id")).drop("_id")
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (A-Z lower-cased) of all texts, and for each text the range of its words."""
     start, end, bounds = word_spans(data, offsets)

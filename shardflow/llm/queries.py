@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardflow.llm.common import read
+from shardflow.llm import language_id, quality_model
+from shardflow.llm.common import crc_of, read
 from shardflow.llm.line_dedup import dedup_lines
 from shardflow.llm.quality_rules import filter_quality
+from shardflow.llm.toxicity import score_toxicity
 from shardflow.llm.url_filter import Rule, filter_urls
 from shardflow.llm.warc import round_trip
 
@@ -18,6 +20,28 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_quality(docs).select(*columns)
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its expected grade, tail probability and verdict."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.train(docs, read(spark, sf_dir, "labels"))
+    return quality_model.score_quality(docs, model).select("doc_id", "expected_grade", "tail_prob", "kept")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its predicted language."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.pmod(crc_of("doc_id"), F.lit(4)) == 2
+    trees = language_id.train(docs, ~held)
+    return language_id.identify(docs.select("doc_id", "text"), trees).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its toxicity score."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.pmod(crc_of("doc_id"), F.lit(5)) == 0
+    return score_toxicity(docs, read(spark, sf_dir, "labels"), ~held).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines whose keys ten documents share."""
     cleaned = dedup_lines(read(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
@@ -96,5 +120,5 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
 """
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op7_line_dedup": op7_line_dedup, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op4_quality_model": op4_quality_model, "op6_language_id": op6_language_id, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
 ORACLE = {"op7_line_dedup": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}
