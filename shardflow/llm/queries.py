@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shardflow.llm import language_id, quality_model
 from shardflow.llm.common import crc_of, read
 from shardflow.llm.line_dedup import dedup_lines
+from shardflow.llm.ngram_join import near_duplicates
 from shardflow.llm.quality_rules import filter_quality
 from shardflow.llm.toxicity import score_toxicity
 from shardflow.llm.url_filter import Rule, filter_urls
@@ -20,6 +21,32 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_quality(docs).select(*columns)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its set of 3-word shingles and its class at a Jaccard similarity of 0.9."""
+    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=90)
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS a FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, list_distinct(CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 3 THEN [array_to_string(a, ' ')]
+    ELSE [a[i] || ' ' || a[i + 1] || ' ' || a[i + 2] FOR i IN range(1, len(a) - 1)] END) AS g FROM w
+), e AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s),
+p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.t = y.t AND x.doc_id <> y.doc_id
+    AND 10 * x.n >= 9 * y.n AND 10 * y.n >= 9 * x.n
+  GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 90 * (any_value(x.n) + any_value(y.n) - count(*))
+), l AS MATERIALIZED (SELECT * FROM p),
+r AS (
+  SELECT doc_id AS d, doc_id AS c FROM s
+  UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.d WHERE r.c < l.b
+)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, (SELECT min(c) FROM r WHERE d = s.doc_id)::BIGINT AS component_id FROM s
+""".replace("\\\\", "\\")
+
+
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its expected grade, tail probability and verdict."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -120,5 +147,5 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
 """
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op4_quality_model": op4_quality_model, "op6_language_id": op6_language_id, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
-ORACLE = {"op7_line_dedup": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_ngram_join": op3_ngram_join, "op4_quality_model": op4_quality_model, "op6_language_id": op6_language_id, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
+ORACLE = {"op3_ngram_join": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}
