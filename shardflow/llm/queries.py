@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shardflow.llm import language_id, quality_model
 from shardflow.llm.common import crc_of, read
+from shardflow.llm.decontaminate import with_matches
 from shardflow.llm.line_dedup import dedup_lines
 from shardflow.llm.ngram_join import near_duplicates
 from shardflow.llm.quality_rules import filter_quality
@@ -54,6 +55,12 @@ def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_quality(docs, model).select("doc_id", "expected_grade", "tail_prob", "kept")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it has, up to a fifth of the item's characters edited."""
+    found = with_matches(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.distance", "m.first_word")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its predicted language."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -147,5 +154,5 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
 """
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_ngram_join": op3_ngram_join, "op4_quality_model": op4_quality_model, "op6_language_id": op6_language_id, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_ngram_join": op3_ngram_join, "op4_quality_model": op4_quality_model, "op5_decontaminate": op5_decontaminate, "op6_language_id": op6_language_id, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
 ORACLE = {"op3_ngram_join": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}
