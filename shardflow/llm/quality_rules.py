@@ -98,13 +98,14 @@ def thresholds(measured: DataFrame, lang: str, source: str, min_group: int, widt
 
 
 def filter_quality(
-    docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_words: int = 50, max_repeat_percent: int = 50, min_group: int = 200, width: float = 3.0, k: int = 200
+    docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_words: int = 50, max_repeat_percent: int = 50, min_group: int = 200, width: float = 3.0, k: int = 200, keep_text: bool = True
 ) -> DataFrame:
     """Add the measures, base_failed and kept.
 
     ``width``: the fences stand so many quartile distances outside the quartiles; k: the size of a sketch.
+    Without ``keep_text`` the result has no text, and texts are measured once instead of twice.
     """
-    measured = measure(docs, text)
+    measured = measure(docs, text) if keep_text else stored(measure(docs, text).drop(text), "quality-measures")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     measured = measured.withColumns({"base_failed": failed, **{f"_{r}": c for r, c in _ratios().items()}})
     limits = thresholds(measured.filter(~F.col("base_failed")).withColumns({r: F.col(f"_{r}") for r in RATIOS}), lang, source, min_group, width, k)

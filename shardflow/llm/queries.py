@@ -19,7 +19,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its measures and the verdict of the adaptive rules."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return filter_quality(docs).select(*columns)
+    return filter_quality(docs, keep_text=False).select(*columns)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
