@@ -10,6 +10,7 @@ from shardflow.llm.common import crc_of, read
 from shardflow.llm.decontaminate import with_matches
 from shardflow.llm.line_dedup import dedup_lines
 from shardflow.llm.ngram_join import near_duplicates
+from shardflow.llm.pieces import decode, encode, load_pieces
 from shardflow.llm.quality_rules import filter_quality
 from shardflow.llm.toxicity import score_toxicity
 from shardflow.llm.url_filter import Rule, filter_urls
@@ -22,6 +23,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_quality(docs, keep_text=False).select(*columns)
 
 
+#: A SentencePiece model; it is read where the query is built, and its pieces travel with the job.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the number and a hash of its piece ids, and whether decoding gives the text back."""
+    pieces = load_pieces(PIECE_MODEL)
+    encoded = decode(encode(read(spark, sf_dir, "documents").select("doc_id", "text"), pieces), pieces)
+    same = F.col("decoded") == F.translate(F.coalesce(F.col("text"), F.lit("")), "\u2581", " ")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), same.alias("round_trip"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its set of 3-word shingles and its class at a Jaccard similarity of 0.9."""
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=90)
@@ -154,5 +167,5 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
 """
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_ngram_join": op3_ngram_join, "op4_quality_model": op4_quality_model, "op5_decontaminate": op5_decontaminate, "op6_language_id": op6_language_id, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_pieces": op2_pieces, "op3_ngram_join": op3_ngram_join, "op4_quality_model": op4_quality_model, "op5_decontaminate": op5_decontaminate, "op6_language_id": op6_language_id, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
 ORACLE = {"op3_ngram_join": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}
