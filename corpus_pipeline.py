@@ -1,15 +1,67 @@
-"""A corpus pipeline: each stage works on all that its predecessor kept."""
+"""A corpus pipeline: each stage works on all that its predecessor kept, is written as Parquet and read again.
+
+Quality classifier (rejected documents go), line dedup (lines that ten documents share go), n-gram Jaccard join
+(the smallest doc_id of each class of five-word shingle sets at a similarity of 0.8 stays), benchmark decontamination
+(documents with a benchmark item go), piece encoding.  All stages but the last return the columns of documents; the
+last returns doc_id and the piece ids.  Rows without a doc_id are no near duplicates and stay, null texts are kept or
+rejected as the quality model's features of no words are, repeated rows of one doc_id and text stay together.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shardflow.llm import quality_model
+from shardflow.llm.common import read, stored
+from shardflow.llm.decontaminate import decontaminate
+from shardflow.llm.line_dedup import dedup_lines
+from shardflow.llm.ngram_join import near_duplicates
+from shardflow.llm.pieces import encode, load_pieces
+from shardflow.llm.queries import PIECE_MODEL
+
+
+def _columns(spark: SparkSession, df: DataFrame, sf_dir: str) -> DataFrame:
+    return df.select(*read(spark, sf_dir, "documents").columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model, fitted on the labels, doesn't reject."""
+    model = quality_model.train(docs, read(spark, sf_dir, "labels"))
+    return _columns(spark, quality_model.score_quality(docs, model).filter("kept"), sf_dir)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten of them share; n_chars follows the text."""
+    cleaned = dedup_lines(docs, min_docs=10, min_chars=1)
+    changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return _columns(spark, cleaned.withColumn("n_chars", changed), sf_dir)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    classes = near_duplicates(docs, n=5, percent=80).filter("component_id <> doc_id").select("doc_id").distinct()
+    return _columns(spark, docs.join(classes, "doc_id", "left_anti"), sf_dir)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return _columns(spark, decontaminate(docs, read(spark, sf_dir, "benchmark")), sf_dir)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The piece ids of each document."""
+    return encode(docs.select("doc_id", "text"), load_pieces(PIECE_MODEL)).select("doc_id", "ids")
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near", near), ("benchmark", benchmark), ("pieces", pieces)]
 
-STAGES: list = []
+#: No stage but line dedup can be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
