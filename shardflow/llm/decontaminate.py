@@ -160,6 +160,16 @@ class ItemIndex:
         return [[(i, d, max(0, p)) for i, (d, p) in sorted(x.items())] for x in out]
 
 
+def _searcher(shared):
+    @F.pandas_udf(MATCHES)
+    def search(texts: pd.Series) -> pd.Series:
+        index = shared.value
+        hits = index.matches(pa.array(texts, pa.string(), from_pandas=True)) if index.items else [[] for _ in texts]
+        return pd.Series([[{"item_id": i, "distance": d, "first_word": p} for i, d, p in x] for x in hits])
+
+    return search
+
+
 def with_matches(docs: DataFrame, benchmark: DataFrame, percent: int = 20, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
     """Add ``matches``: the benchmark items that each text has, with their edit distance."""
     spark = docs.sparkSession
@@ -169,14 +179,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, percent: int = 20, text:
     found = None
     for k in range(blocks):
         block = sorted((r["i"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).toLocalIterator())
-        shared = spark.sparkContext.broadcast(ItemIndex(block, percent))
-
-        def search(texts: pd.Series, shared=shared) -> pd.Series:
-            index = shared.value
-            hits = index.matches(pa.array(texts, pa.string(), from_pandas=True)) if index.items else [[] for _ in texts]
-            return pd.Series([[{"item_id": i, "distance": d, "first_word": p} for i, d, p in x] for x in hits])
-
-        matches = F.pandas_udf(search, MATCHES)(F.col(text))
+        matches = _searcher(spark.sparkContext.broadcast(ItemIndex(block, percent)))(F.col(text))
         found = matches if found is None else F.concat(found, matches)
     return docs.withColumn("matches", found)
 
