@@ -124,7 +124,7 @@ def train(docs: DataFrame, train_on: F.Column, text: str = "text", lang: str = "
     for name, count in n.items():
         share = F.when(F.col(lang) == name, int(min(1.0, max_rows / count) * (1 << 30))).otherwise(share)
     sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < share)
-    counts = count_grams(sample, text, lang).toPandas()
+    counts = count_grams(sample, text, lang).toArrow().to_pandas()
     return ContextTrees(counts.sort_values(["lang", "gram"])) if len(counts) else None
 
 

@@ -90,7 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
                 value.append(x.astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(index, pa.binary()), pa.array(value, pa.binary()), b.column(1)], ["index", "value", "grade"])
 
-    found = rows.mapInArrow(run, "index binary, value binary, grade double").toPandas()
+    found = rows.mapInArrow(run, "index binary, value binary, grade double").toArrow().to_pandas()
     if found["grade"].nunique() < 2:
         return None
     found = found.iloc[np.argsort([bytes(x) for x in found["index"]], kind="stable")]  # the same order however rows arrive
