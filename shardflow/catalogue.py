@@ -214,7 +214,8 @@ _SUMS = "count(*)::BIGINT AS cells, min(i0)::BIGINT AS first, sum(v)::BIGINT AS
 
 def _sums(a: ShardedArray) -> DataFrame:
     """Contents of each shard after its cells were moved there: the aggregate needs no further shuffle."""
-    return a.placed().groupBy("shard").agg(F.count("*").alias("cells"), F.min("i0").alias("first"), F.sum("v").alias("v_sum"))
+    found = a.placed().groupBy("shard").agg(F.count("*").alias("cells"), F.min("i0").alias("first"), F.sum("v").alias("v_sum"))
+    return found.withColumn("shard", F.col("shard").cast("long"))
 
 
 E1, E3, V2 = "N/4", "M/2@0, 10/5@1, 10/1@2", "V/4@0, 64/2@1"
@@ -457,7 +458,8 @@ V4 = "V/2@0, 64/4@1"
 @_query("reshard_sg_2d", _shards_sql(_VECTORS_SQL, V4, _STATS))
 def reshard_sg_2d(spark: SparkSession, d: str) -> DataFrame:
     a = _to(spark, d, _vectors(spark, d, V2), V4)
-    return a.placed().groupBy("shard").agg(F.count("*").alias("cells"), F.min("v").alias("v_min"), F.max("v").alias("v_max"))
+    found = a.placed().groupBy("shard").agg(F.count("*").alias("cells"), F.min("v").alias("v_min"), F.max("v").alias("v_max"))
+    return found.withColumn("shard", F.col("shard").cast("long"))
 
 
 @_query("reshard_roundtrip", _shards_sql(_EVENTS_SQL, E1, _SUMS))

@@ -11,7 +11,7 @@ from shardflow.layout import Sharding
 
 
 def _div(a: Column, b: int) -> Column:
-    return F.floor(a / F.lit(b)).cast("long") if b > 1 else a
+    return F.call_function("div", a, F.lit(b)) if b > 1 else a
 
 
 def tile_index(layout: Sharding, shard: Column) -> list[Column]:

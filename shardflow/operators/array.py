@@ -45,8 +45,8 @@ class ShardedArray:
         return self.cells.select(F.explode(shards).alias("shard"), *self.coords, "v") if self.layout.replicas > 1 else self.cells.select(shards[0].alias("shard"), *self.coords, "v")
 
     def placed(self) -> DataFrame:
-        """The same with a partition for each shard: one shuffle."""
-        return self.sharded().repartitionById(self.layout.shards, F.col("shard").cast("int"))
+        """The same with a partition for each shard (an int here): one shuffle, which grouping by shard uses again."""
+        return self.sharded().withColumn("shard", F.col("shard").cast("int")).repartitionById(self.layout.shards, F.col("shard"))
 
     def tile(self, shard: int) -> DataFrame:
         """The cells of one shard: a range of each coordinate, which reaches the scan as a filter."""

@@ -29,7 +29,7 @@ def from_digits(df: DataFrame, key: str, value: str, sizes: list[int], layout: S
     """An N-d array whose coordinates are the mixed-radix digits of a key."""
     digits, below = [], 1
     for n in reversed(sizes):
-        digits.insert(0, F.floor(F.col(key) / below).cast("long") % n)
+        digits.insert(0, F.call_function("div", F.col(key), F.lit(below)) % n)
         below *= n
     cells = df.filter(F.col(key).between(0, below - 1)).select(*[d.alias(f"i{k}") for k, d in enumerate(digits)], value)
     return ShardedArray.create(cells, layout, dtype)
