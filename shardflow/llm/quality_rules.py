@@ -9,8 +9,8 @@ group and reach the rows by a join on (language, source) whose large groups Spar
 
 Null and empty texts have no words: all measures are 0 and the base rule rejects them.  Null languages and
 sources are groups of their own.  Texts that fail the base rule stay out of the sketches.  Ties and repeated
-rows are measured alike; other columns are kept, and results replace columns of the same name.  An empty table
-gives an empty table.
+rows are measured alike; other columns are kept, and results replace columns of the same name, and names
+that begin with an underscore are taken.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def thresholds(measured: DataFrame, lang: str, source: str, min_group: int, widt
     joined = own.join(language, F.col("_lang").eqNullSafe(F.col("_l")))
     names = [c for c in everything if c != "n"]
     pick = lambda c: F.when(F.col("s_n") >= min_group, F.col(f"s_{c}")).when(F.col("l_n") >= min_group, F.col(f"l_{c}")).otherwise(F.lit(everything[c]).cast("double"))
-    return joined.select("_lang", "_source", *[pick(c).alias(c) for c in names])
+    return joined.select("_lang", "_source", *[pick(c).alias(f"_{c}") for c in names])
 
 
 def filter_quality(
@@ -111,9 +111,9 @@ def filter_quality(
     limits = thresholds(measured.filter(~F.col("base_failed")).withColumns({r: F.col(f"_{r}") for r in RATIOS}), lang, source, min_group, width, k)
     inside = F.lit(True)
     for r, rule in RATIOS.items():
-        inside &= F.col(f"_{r}") <= F.coalesce(F.col(f"{r}_high"), F.lit(float("inf")))
+        inside &= F.col(f"_{r}") <= F.coalesce(F.col(f"_{r}_high"), F.lit(float("inf")))
         if rule["low"]:
-            inside &= F.col(f"_{r}") >= F.coalesce(F.col(f"{r}_low"), F.lit(float("-inf")))
+            inside &= F.col(f"_{r}") >= F.coalesce(F.col(f"_{r}_low"), F.lit(float("-inf")))
     joined = measured.join(limits, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
     joined = joined.withColumn("kept", ~F.col("base_failed") & inside)
-    return joined.drop("_lang", "_source", "_n_lines", *[f"_{r}" for r in RATIOS], *[c for c in limits.columns if c[0] != "_"])
+    return joined.drop("_n_lines", *[f"_{r}" for r in RATIOS], *limits.columns)
