@@ -82,7 +82,7 @@ def thresholds(measured: DataFrame, lang: str, source: str, min_group: int, widt
     def fences(df: DataFrame, prefix: str) -> DataFrame:
         out = [F.col("n").alias(f"{prefix}n")]
         for r, rule in RATIOS.items():
-            quarter = [F.kll_sketch_get_quantile_double(r, F.lit(q)) for q in (0.25, 0.75)]
+            quarter = [F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(r, F.lit(q))) for q in (0.25, 0.75)]  # no rows, no sketch
             room = width * F.greatest(quarter[1] - quarter[0], F.lit(rule["spread"]))
             out += [(quarter[1] + room).alias(f"{prefix}{r}_high")] + ([(quarter[0] - room).alias(f"{prefix}{r}_low")] if rule["low"] else [])
         return df.select(*[c for c in ("_lang", "_source") if c in df.columns], *out)
