@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardflow.llm.common import add_counts, bounded_batches, dense, shingle_hashes, stored, texts_of, word_hashes
+from shardflow.llm.common import add_counts, bounded_batches, dense, mix, shingle_hashes, stored, texts_of, word_hashes
 from shardflow.llm.components import components
 
 COUNT_BITS, CHUNKS = 20, 16
+#: Places of the filter of prefix shingles that occur twice, of a fixed size; a full filter only lets more rows pass.
+FILTER_BITS = 25
 #: The most ids (8 bytes each) that are broadcast to pick texts; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -59,31 +61,31 @@ def _counts(docs: DataFrame, text: str, n: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """Rows (id, n, s1, s2, rank, prefix): size, hash of the whole set, count of its rarest shingle, its prefix."""
+    """Rows (id, n, s1, s2, rank, prefix, often): size, hash of the whole set, count of its rarest shingle, its prefix
+    in order and the counts by which it is ordered."""
     count = _counts(docs, text, n)
     shared = docs.sparkSession.sparkContext.broadcast(count if len(count) else np.zeros(1 << COUNT_BITS, np.uint32))
 
     def run(batches):
         for b in batches:
-            size, h1, h2, rank, heads = [], [], [], [], []
+            size, h1, h2, rank, heads, counts = [], [], [], [], [], []
             for s in sets_of(b.column(1), n):
                 often = shared.value[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
                 keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                order = np.lexsort((s, often))[:keep]
+                order = np.lexsort((s.view(np.int64), often))[:keep]
                 size.append(len(s))
                 with np.errstate(over="ignore"):
                     h1.append(int(s.sum().view(np.int64)))
                     h2.append(int(((s ^ (s >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)).sum().view(np.int64)))
                 rank.append(int(often[order[0]]) if keep else 0)
                 heads.append(s[order].view(np.int64))
+                counts.append(often[order].astype(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)
-            flat = pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(rank, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                ["id", "n", "s1", "s2", "rank", "prefix"],
-            )
+            flat, often = (pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (heads, counts))
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), x) for x in (flat, often)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(rank, pa.int64()), *lists], ["id", "n", "s1", "s2", "rank", "prefix", "often"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), text).mapInArrow(run, "id long, n int, s1 long, s2 long, rank long, prefix array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("id"), text).mapInArrow(run, "id long, n int, s1 long, s2 long, rank long, prefix array<long>, often array<long>")
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -91,12 +93,72 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(percent * (a + b) / F.lit(100.0 + percent) - 1e-9)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets link."""
-    pairs = stored(pairs, "ngram-pairs")
+def _repeated(reps: DataFrame) -> DataFrame:
+    """Rows (rep, n, rank, pos, token) of prefix shingles that may occur in two prefixes.
+
+    Most occur in one.  Bare shingles are counted first; a Bloom filter of those found twice then keeps the others'
+    rows from the wider shuffles.  What it lets pass by chance is counted exactly afterwards.
+    """
+    twice = reps.select(F.explode("prefix").alias("token")).groupBy("token").count().filter("count > 1").select("token")
+    part = (1 << FILTER_BITS) // CHUNKS
+
+    def places(tokens: np.ndarray) -> np.ndarray:
+        h = mix(tokens.astype(np.int64).view(np.uint64))
+        return np.stack([h >> np.uint64(64 - FILTER_BITS), h & np.uint64((1 << FILTER_BITS) - 1)]).astype(np.int64)
+
+    def fill(batches):
+        seen = np.zeros(1 << FILTER_BITS, bool)
+        for b in batches:
+            seen[places(b.column(0).to_numpy(zero_copy_only=False))] = True
+        for k in range(CHUNKS):
+            if (own := seen[k * part : (k + 1) * part]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["chunk", "values"])
+
+    either = lambda old, new: (np.frombuffer(old, np.uint8) | np.frombuffer(new, np.uint8)).tobytes()
+    bits = dense(twice.mapInArrow(fill, "chunk int, values binary"), CHUNKS, np.uint8, either)
+    shared = reps.sparkSession.sparkContext.broadcast(bits if len(bits) else np.zeros((1 << FILTER_BITS) // 8, np.uint8))
+
+    def keep(batches):
+        for b in batches:
+            lists = b.column(3)
+            tokens = lists.flatten().to_numpy()
+            size = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
+            at = places(tokens)
+            hit = np.flatnonzero(((shared.value[at >> 3] << (at & 7).astype(np.uint8)) & 128 > 0).all(axis=0))
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(pa.array(row[hit])) for k in range(3)], pa.array(pos[hit], pa.int32()), pa.array(tokens[hit], pa.int64())], ["rep", "n", "rank", "pos", "token"])
+
+    return reps.select("rep", "n", "rank", "prefix").mapInArrow(keep, "rep long, n int, rank long, pos int, token long")
+
+
+def _only(df: DataFrame, doc_id: str, pairs: DataFrame) -> DataFrame:
+    """The rows whose id is in a pair; ids are broadcast behind a check of their number."""
     ids = stored(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "ngram-ids")
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    needed = docs.join(few, F.col(doc_id).cast("long") == F.col("_id"), "left_semi").select(F.col(doc_id).cast("long").alias("id"), text)
+    return df.join(few, F.col(doc_id).cast("long") == F.col("_id"), "left_semi")
+
+
+def _prefixes_allow(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may link by their whole prefixes.  A shingle of a's prefix that stands no later in the order
+    than the end of b's prefix and isn't in that prefix isn't in b at all."""
+    heads = _only(reps, "rep", pairs)
+    both = pairs
+    for x in "ab":
+        both = both.join(heads.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "prefix", "often")]), x)
+    both = both.withColumn("c", F.size(F.array_intersect("prefix_a", "prefix_b")))
+    most = []
+    for x, y in ("ab", "ba"):
+        last = f"element_at(often_{y}, -1)", f"element_at(prefix_{y}, -1)"
+        early = f"size(filter(arrays_zip(often_{x}, prefix_{x}), z -> z.often_{x} < {last[0]} OR (z.often_{x} = {last[0]} AND z.prefix_{x} <= {last[1]})))"
+        most.append(F.col(f"n_{x}") - F.expr(early) + F.col("c"))
+    return both.filter(F.least(*most) >= _needed(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets link."""
+    pairs = stored(_prefixes_allow(stored(pairs, "ngram-candidates"), reps, percent), "ngram-pairs")
+    needed = _only(docs, doc_id, pairs).select(F.col(doc_id).cast("long").alias("id"), text)
 
     def run(batches):
         for b in batches:
@@ -115,9 +177,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     """Rows (doc_id, n_shingles, component_id): the smallest doc_id that is reached by links."""
     bounded_batches(docs.sparkSession)
     sets = stored(prefixes(docs, n, percent, doc_id, text), "ngram-prefixes")
-    reps = sets.filter("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "rank", "prefix")).alias("r"))
-    reps = stored(reps.select("s1", "s2", "n", F.col("r.id").alias("rep"), "r.rank", "r.prefix"), "ngram-representatives")
-    entries = reps.select("rep", "n", "rank", F.posexplode("prefix").alias("pos", "token"))
+    reps = sets.filter("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "rank", "prefix", "often")).alias("r"))
+    reps = stored(reps.select("s1", "s2", "n", F.col("r.id").alias("rep"), "r.rank", "r.prefix", "r.often"), "ngram-representatives")
+    entries = _repeated(reps)
 
     # prefix shingles of two or more representatives, with the one that the others are checked against first
     best = F.max(F.struct("rank", (-F.col("rep")).alias("order"), "rep", "n", "pos")).alias("pivot")
@@ -129,7 +191,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
         return F.least(a - F.col(pos1), b - F.col(pos2)) >= _needed(a, b, percent)
 
     stars = entries.filter((F.col("rep") != F.col("pivot")) & may_link("n", "pos", "pn", "ppos")).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = stored(_verified(stars, docs, n, percent, doc_id, text), "ngram-links")
+    links = stored(_verified(stars, reps, docs, n, percent, doc_id, text), "ngram-links")
     group = components(links)
 
     # the matrix: for each prefix shingle the groups that have it
@@ -147,7 +209,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     qualify = queries.join(matrix.drop("top").withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & larger & bound).select("token", "q", "qn", "qpos", "grp")
     members = entries.select(F.col("token").alias("t"), F.col("grp").alias("g"), "rep", "n", "pos")
     opened = qualify.join(members, (F.col("token") == F.col("t")) & (F.col("grp") == F.col("g")) & may_link("qn", "qpos", "n", "pos"))
-    more = _verified(opened.select(F.col("q").alias("a"), F.col("rep").alias("b")).distinct(), docs, n, percent, doc_id, text)
+    more = _verified(opened.select(F.col("q").alias("a"), F.col("rep").alias("b")).distinct(), reps, docs, n, percent, doc_id, text)
 
     linked = components(links.union(more)).withColumnRenamed("node", "rep")
     named = reps.select("s1", "s2", "n", "rep").join(linked, "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
