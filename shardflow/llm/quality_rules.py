@@ -25,7 +25,7 @@ _MARKS = "#*$%&|<>"
 #: Ratios whose fences decide: the least quartile distance that a fence is built on, and whether low values count.
 RATIOS = {
     "word_length": {"spread": 1.0, "low": True},
-    "symbol_ratio": {"spread": 0.1, "low": False},
+    "symbol_ratio": {"spread": 0.03, "low": False},
     "dup_line_ratio": {"spread": 0.2, "low": False},
     "repeat_ratio": {"spread": 0.1, "low": False},
 }
