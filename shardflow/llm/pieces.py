@@ -14,7 +14,8 @@ not.  Characters without a piece become their bytes' pieces (or the unknown id).
 Words of more than 60 characters between cuts (encoded data, say) are encoded by the library itself, BPE only.
 
 Words seen most (at most ``FREQUENT`` of them, a fixed bound) are broadcast with their ids; each text's other
-words are joined to the table of words by a shuffle and come back to their text as one list.
+words are joined to the table of words by a shuffle and come back to their text as one list.  Texts travel
+compressed, with the most frequent words as the compressor's dictionary.
 
 Null and empty texts have no ids.  A literal U+2581 in a text is decoded as a space, as the library does.  Repeated
 rows are encoded alike, other columns are kept (``ids`` is replaced), an empty table gives an empty table.
@@ -22,7 +23,6 @@ rows are encoded alike, other columns are kept (``ids`` is replaced), an empty t
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -30,13 +30,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardflow.llm.common import bounded_batches, stored
 
 SPACE, CUT = "▁", "\ud800"  # a lone surrogate is in no text
-LONGEST, FREQUENT = 60, 1 << 17
+LONGEST, FREQUENT = 60, 1 << 20
+#: Bytes of frequent words that the compressor knows, and the most words a worker remembers.
+PRIMER, REMEMBERED = 1 << 16, 300_000
 
 
 @dataclass(frozen=True)
@@ -91,28 +95,71 @@ def cutter(pieces: Pieces):
             s = before.sub(CUT, s)
         return [w for w in s.split(CUT) if w]
 
-    return words
+    def units(text: str | None) -> list[str]:
+        """Parts of a text that can be cut by themselves: what stands between single spaces, where no two meet."""
+        return [] if not text else [text] if bad or "  " in text or text[0] == " " or text[-1] == " " or SPACE in text else text.split(" ")
+
+    return words, units
 
 
 def _counted_words(docs: DataFrame, text: str, pieces: Pieces) -> DataFrame:
-    """Rows (w, n): distinct words and how often they occur."""
-    words = cutter(pieces)
+    """Rows (w, n): distinct words and how often they occur.  Parts between spaces are counted first, then cut."""
+    words, units = cutter(pieces)
+
+    def cut(seen: Counter) -> pa.RecordBatch:
+        found: dict[str, int] = {}
+        for u, n in seen.items():
+            for w in words(u) or [SPACE]:
+                found[w] = found.get(w, 0) + n
+        rows = sorted(found.items())  # neighbours alike compress better
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["w", "n"])
 
     def run(batches):
         seen: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                seen.update(words(t))
+                seen.update(units(t))
                 if len(seen) > 400_000:
-                    yield _word_counts(seen)
+                    yield cut(seen)
                     seen = Counter()
-        yield _word_counts(seen)
+        yield cut(seen)
 
     return docs.select(text).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def _word_counts(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
+class Frequent:
+    """Words with their ids, packed: hashes in order, and where each word and its ids are."""
+
+    def __init__(self, words: pa.Array, ids: pa.Array):
+        data = words.cast(pa.binary()).to_pylist()
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, data), np.uint64, len(data))
+        order = np.argsort(h, kind="stable")
+        size = np.fromiter(map(len, data), np.int64, len(data))[order]
+        offsets = ids.offsets.to_numpy().astype(np.int64)
+        flat = ids.flatten().to_numpy().astype(np.int32)
+        count = np.diff(offsets)[order]
+        base = offsets[:-1][order] - offsets[0]
+        self.hashes, self.text = h[order], b"".join(data[k] for k in order)
+        self.word_at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        self.id_at = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+        self.ids = flat[np.repeat(base - self.id_at[:-1], count) + np.arange(count.sum())]
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """The place of each word, -1 of those that aren't here."""
+        data = [w.encode() for w in words]
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, data), np.uint64, len(data))
+        at = np.searchsorted(self.hashes, h)
+        out = np.full(len(data), -1, np.int64)
+        for k in np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] == h) if len(self.hashes) else ():
+            j = int(at[k])
+            while j < len(self.hashes) and self.hashes[j] == h[k]:  # words of one hash are told apart
+                if self.text[self.word_at[j] : self.word_at[j + 1]] == data[k]:
+                    out[k] = j
+                j += 1
+        return out
+
+    def ids_at(self, k: int) -> bytes:
+        return self.ids[self.id_at[k] : self.id_at[k + 1]].tobytes()
 
 
 def _table(spark: SparkSession, pieces: Pieces) -> DataFrame:
@@ -121,9 +168,9 @@ def _table(spark: SparkSession, pieces: Pieces) -> DataFrame:
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     """Rows (w, n, size, edges) of words of at most 60 characters: all their substrings that are pieces, as (cost,
-    start, stop, id) in the order of best score first.  No row moves: words stay in their partition."""
+    start, stop, id) in the order of best score first.  Only words move, to partitions of their own; edges stay there."""
     spans = f"flatten(transform(sequence(0, size - 1), s -> transform(sequence(1, least({pieces.longest}, size - s)), l -> struct(s AS s, s + l AS e, substr(w, s + 1, l) AS piece))))"
-    some = words.withColumn("size", F.length("w")).filter(F.col("size") <= LONGEST)
+    some = words.repartition("w").withColumn("size", F.length("w")).filter(F.col("size") <= LONGEST)
     found = some.select("w", "n", "size", F.explode(F.expr(spans)).alias("x")).select("w", "n", "size", "x.s", "x.e", "x.piece")
     found = found.join(F.broadcast(_table(words.sparkSession, pieces)), "piece", "left")  # as many rows as the model has pieces
     found = found.filter("id IS NOT NULL OR (s = 0 AND e = 1)")  # a row at least for each word
@@ -136,8 +183,10 @@ def _boundaries_bpe() -> str:
     pairs = """transform(filter(edges, x -> x.e - x.s > 1), x -> struct(
         shiftleft(1L, x.s) | shiftleft(1L, x.e) AS ends, shiftleft(shiftleft(1L, x.e - x.s - 1) - 1L, x.s + 1) AS inner))"""
     best = "get(filter(p, x -> (b & x.ends) = x.ends AND bit_count(b & x.inner) = 1), 0).inner"
+    # bit 63 says that nothing is left to join
     return f"""aggregate(array({pairs}), shiftleft(1L, size + 1) - 1L, (b0, p) ->
-        aggregate(sequence(1, greatest(size - 1, 1)), b0, (b, k) -> b & ~coalesce({best}, 0L)))"""
+        aggregate(sequence(1, greatest(size - 1, 1)), b0, (b, k) -> CASE WHEN b < 0 THEN b ELSE coalesce(b & ~{best}, b | shiftleft(1L, 63)) END,
+            b -> b & ~shiftleft(1L, 63)))"""
 
 
 def _boundaries_viterbi() -> str:
@@ -179,22 +228,20 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     return short.union(words.filter(F.length("w") > LONGEST).select("w", "n").mapInArrow(by_library, "w string, n long, ids array<int>"))
 
 
-def _frequent(encoded: DataFrame) -> dict[str, bytes]:
-    """The ids of the words seen most, at most FREQUENT of them, by a histogram of counts."""
-    bins = {r["k"]: r["count"] for r in encoded.groupBy(F.floor(F.log2("n") * 8).alias("k")).count().collect()}
-    least, total = math.inf, 0
+def _least(encoded: DataFrame) -> int:
+    """The histogram bin of counts from which on words are frequent: at most FREQUENT are."""
+    bins = {r["k"]: r["count"] for r in encoded.groupBy(_bin().alias("k")).count().collect()}
+    least, total = max(bins, default=0) + 1, 0
     for k in sorted(bins, reverse=True):
         total += bins[k]
         if total > FREQUENT:
             break
         least = k
-    if least == math.inf:
-        return {}
-    rows = encoded.filter(F.floor(F.log2("n") * 8) >= least).select("w", "ids").toArrow()
-    ids = rows.column(1).combine_chunks()
-    ids = ids if not isinstance(ids, pa.ChunkedArray) else pa.concat_arrays(ids.chunks)
-    flat, ends = ids.flatten().to_numpy().astype(np.int32), np.concatenate([[0], np.cumsum(np.diff(ids.offsets.to_numpy()))])
-    return {w: flat[ends[k] : ends[k + 1]].tobytes() for k, w in enumerate(rows.column(0).to_pylist())}
+    return least
+
+
+def _bin():
+    return F.floor(F.log2("n") * 8)
 
 
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
@@ -204,46 +251,75 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     if not pieces.bpe and any(SPACE in p.lstrip(SPACE) for p, _, _ in pieces.rows):
         raise ValueError("pieces that reach across words aren't supported")
     docs = docs.drop("ids")
-    encoded = stored(encode_words(_counted_words(docs, text, pieces), pieces), "pieces-words")
-    frequent = spark.sparkContext.broadcast(_frequent(encoded))
-    words = cutter(pieces)
+    counted = stored(_counted_words(docs, text, pieces), "pieces-words")
+    encoded = stored(encode_words(counted, pieces), "pieces-encoded")
+    least = _least(encoded)
+    rows = encoded.filter(_bin() >= least).select("w", "ids", "n").toArrow().combine_chunks()
+    column = [pa.concat_arrays(rows.column(k).chunks) if rows.num_rows else pa.array([], rows.schema.field(k).type) for k in range(3)]
+    top = np.argsort(-column[2].to_numpy(), kind="stable")[: PRIMER // 4]
+    primer = " ".join(sorted(w.replace(SPACE, "") for w in column[0].take(pa.array(top)).to_pylist())).encode()[-PRIMER:]
+    shared = spark.sparkContext.broadcast((Frequent(column[0], column[1]), primer))
+    words, units = cutter(pieces)
     key = [F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(1), text).alias("_k2")]
 
     def rare(batches):
-        known = frequent.value
+        frequent, usual, unusual = shared.value[0], set(), {}
         for b in batches:
+            if len(usual) > REMEMBERED:
+                usual = set()
+            parts = [set(units(t)) for t in b.column(2).to_pylist()]
+            new = list(set().union(*parts).difference(usual))
+            cut = [words(u) or [SPACE] for u in new]
+            distinct = list(dict.fromkeys(w for ws in cut for w in ws))
+            missing = {distinct[k] for k in np.flatnonzero(frequent.find(distinct) < 0)}
+            unusual = {u: own for u, ws in zip(new, cut, strict=True) if (own := missing.intersection(ws))}
+            usual.update(u for u in new if u not in unusual and len(u) <= LONGEST)
             k1, k2, w = [], [], []
-            for a, c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                own = [x for x in set(words(t)) if x not in known]
+            for a, c, us in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), parts, strict=True):
+                own = sorted(set().union(*[unusual[u] for u in us if u in unusual]))
                 k1 += [a] * len(own)
                 k2 += [c] * len(own)
                 w += own
             yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(w, pa.string())], ["_k1", "_k2", "w"])
 
-    others = docs.select(*key, text).mapInArrow(rare, "_k1 long, _k2 long, w string").join(encoded.select("w", "ids"), "w")
+    others = docs.select(*key, text).mapInArrow(rare, "_k1 long, _k2 long, w string").join(encoded.filter(_bin() < least).select("w", "ids"), "w")
     others = others.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("w", "ids")).alias("_own"))
-    joined = docs.withColumns({"_k1": key[0], "_k2": key[1]}).join(others, ["_k1", "_k2"], "left").drop("_k1", "_k2")
     names = [f.name for f in docs.schema.fields]
     at = names.index(text)
 
+    @F.pandas_udf("binary")
+    def pack(texts: pd.Series) -> pd.Series:
+        squeeze = zstandard.ZstdCompressor(3, dict_data=zstandard.ZstdCompressionDict(shared.value[1], zstandard.DICT_TYPE_RAWCONTENT))
+        return pd.Series([None if t is None else squeeze.compress(t.encode()) for t in texts])
+
+    packed = docs.withColumns({"_k1": key[0], "_k2": key[1], text: pack(F.col(text))})
+    joined = packed.join(others, ["_k1", "_k2"], "left").drop("_k1", "_k2")
+
     def look_up(batches):
-        known = frequent.value
+        frequent, known = shared.value[0], {}
+        open_ = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shared.value[1], zstandard.DICT_TYPE_RAWCONTENT))
         for b in batches:
-            own, found = b.column(len(names)), []
-            lists, w_all, ids_all = own, own.flatten().field(0) if len(own) else None, own.flatten().field(1) if len(own) else None
-            ends = np.concatenate([[0], np.cumsum([len(x) if x.is_valid else 0 for x in lists])])
-            for row, t in enumerate(b.column(at).to_pylist()):
-                here = slice(ends[row], ends[row + 1])
-                mine = {}
-                if here.stop > here.start:
-                    part = ids_all.slice(here.start, here.stop - here.start)
-                    flat, off = part.flatten().to_numpy().astype(np.int32), part.offsets.to_numpy()
-                    off = off - off[0]
-                    mine = {w: flat[off[k] : off[k + 1]].tobytes() for k, w in enumerate(w_all.slice(here.start, here.stop - here.start).to_pylist())}
-                found.append(b"".join([x if (x := known.get(w)) is not None else mine[w] for w in words(t)]))
+            if len(known) > REMEMBERED:
+                known = {}
+            texts = [None if x is None else open_.decompress(x).decode() for x in b.column(at).to_pylist()]
+            parts = [units(t) for t in texts]
+            # the batch's other words: the same word has the same ids in any text
+            pairs = b.column(len(names)).flatten()
+            lists = pairs.field(1)
+            flat, off = lists.flatten().to_numpy().astype(np.int32), lists.offsets.to_numpy()
+            off = off - off[0]
+            own = {w: flat[off[k] : off[k + 1]].tobytes() for k, w in enumerate(pairs.field(0).to_pylist())}
+            new = list({u for us in parts for u in us if u not in known})
+            cut = [words(u) or [SPACE] for u in new]
+            distinct = list(dict.fromkeys(w for ws in cut for w in ws))
+            ids = {w: own[w] if k < 0 else frequent.ids_at(k) for w, k in zip(distinct, frequent.find(distinct).tolist(), strict=True)}
+            for u, ws in zip(new, cut, strict=True):
+                known[u] = b"".join([ids[w] for w in ws])
+            found = [b"".join([known[u] for u in us]) for us in parts]
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], ids], [*names, "ids"])
+            columns = b.columns[: len(names)]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))], [*names, "ids"])
 
     named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return joined.mapInArrow(look_up, f"{named}, ids array<int>")
@@ -262,6 +338,6 @@ def decode(encoded: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "dec
     @F.pandas_udf("string")
     def text_of(column: pd.Series) -> pd.Series:
         t = shared.value
-        return pd.Series([b"".join([t[i] for i in x if 0 <= i < len(t)])[1:].decode("utf-8", "replace") if x is not None else None for x in column])
+        return pd.Series([b"".join(map(t.__getitem__, x[(x >= 0) & (x < len(t))].tolist()))[1:].decode("utf-8", "replace") if x is not None else None for x in column])
 
     return encoded.withColumn(out, text_of(F.col(ids)))
