@@ -32,18 +32,23 @@ from shardflow.llm.common import bounded_batches, shared_dir, stored
 
 #: A file is closed after so many bytes of records; a record is never split.
 ROLL_BYTES, LEVEL = 64 << 20, 1
+#: The most groups of equal payloads (36 bytes each) that are broadcast; beyond it payloads are shuffled to their group.
+BROADCAST_GROUPS = 300_000
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def plan_records(pages: DataFrame, min_bytes: int = 0, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """Rows (page_id, url, payload, refers_to): of equal payloads of at least min_bytes all but that of the
     smallest page_id refer to it.  The groups are found by SHA-1 and length with a partial aggregate before the
-    shuffle; the join back leaves large groups for Spark to split."""
+    shuffle.  Groups of two or more are broadcast behind a check of their number, so that payloads stay where they
+    are; beyond it the join back leaves large groups for Spark to split."""
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"sha": F.unhex(F.sha1("payload")), "size": F.octet_length("payload").cast("long")})
     keys = pages.select("page_id", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).select("page_id", F.unhex(F.sha1("payload")).alias("k_sha"), F.octet_length("payload").cast("long").alias("k_size"))
     first = keys.filter(F.col("k_size") >= min_bytes).groupBy("k_sha", "k_size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = stored(first, "warc-groups")
+    first = F.broadcast(first) if first.count() <= broadcast_groups else first
     joined = rows.join(first, (F.col("sha") == F.col("k_sha")) & (F.col("size") == F.col("k_size")), "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return joined.select("page_id", "url", "payload", refers.alias("refers_to"))

@@ -21,6 +21,12 @@ def test_round_trip(spark, least):
         assert r == {"page_id": page, "payload_bytes": len(data), "payload_digest": base64.b32encode(hashlib.sha1(data).digest()).decode(), "record_type": "revisit" if revisit else "response", "refers_to": first if revisit else None}
 
 
+def test_both_ways_of_joining(spark):
+    df = spark.createDataFrame([(k, None, f"p{k % 7}") for k in range(50)], "page_id long, url string, html string")
+    found = [sorted((r["page_id"], r["refers_to"]) for r in plan_records(df, broadcast_groups=n).collect()) for n in (0, 100)]
+    assert found[0] == found[1] == [(k, None if k < 7 else k % 7) for k in range(50)]
+
+
 def test_empty_and_null_ids(spark):
     df = spark.createDataFrame([(None, "u", "a"), (3, "u", "a")], "page_id long, url string, html string")
     assert sorted((r["page_id"] or 0, r["record_type"]) for r in round_trip(df).collect()) == [(0, "revisit"), (3, "response")]
