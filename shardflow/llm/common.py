@@ -20,9 +20,9 @@ _BASE = 0x9E3779B97F4A7C15
 _POWERS = {"n": 0}
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep the Arrow batches that Python workers get small, so that long texts stay within memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 

@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from shardflow.llm.common import bounded_batches, stored
 
 SPACE, CUT = "▁", "\ud800"  # a lone surrogate is in no text
-LONGEST, FREQUENT = 60, 1 << 20
+LONGEST, FREQUENT = 60, 1 << 18
 #: Bytes of frequent words that the compressor knows, and the most words a worker remembers.
-PRIMER, REMEMBERED = 1 << 16, 300_000
+PRIMER, REMEMBERED = 1 << 16, 80_000
 
 
 @dataclass(frozen=True)
@@ -119,7 +119,7 @@ def _counted_words(docs: DataFrame, text: str, pieces: Pieces) -> DataFrame:
         for b in batches:
             for t in b.column(0).to_pylist():
                 seen.update(units(t))
-                if len(seen) > 400_000:
+                if len(seen) > 80_000:
                     yield cut(seen)
                     seen = Counter()
         yield cut(seen)
@@ -247,7 +247,7 @@ def _bin():
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     """Add ``ids``, the piece ids of each whole text."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 300)
     if not pieces.bpe and any(SPACE in p.lstrip(SPACE) for p, _, _ in pieces.rows):
         raise ValueError("pieces that reach across words aren't supported")
     docs = docs.drop("ids")
