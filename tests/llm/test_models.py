@@ -99,6 +99,26 @@ def test_toxicity(spark, odd):
     assert len(none) == odd.count() and {x["score"] for x in none} == {0.0}
 
 
+def test_toxic_expressions_of_ordinary_words(spark):
+    """Only the order of two words, which follow every other word in both classes, tells the classes apart."""
+    r = random.Random(8)
+    expressions = [("good", "riddance"), ("drop", "dead"), ("get", "lost")]
+    rows = []
+    for k in range(900):
+        y = int(r.random() < 0.4)
+        w = [r.choice(WORDS + [x for e in expressions for x in e]) for _ in range(r.randrange(30, 90))]
+        w += [f"rare{r.randrange(3000)}" for _ in range(20)]
+        r.shuffle(w)
+        for _ in range(5):
+            a, b = r.choice(expressions)
+            w.insert(r.randrange(len(w)), f"{a} {b}" if y else f"{b} {a}")
+        rows.append((k, " ".join(w), y))
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    got = {x["doc_id"]: x["predicted"] for x in score_toxicity(docs, labels, F.col("doc_id") % 5 != 0).collect()}
+    assert np.mean([got[k] == y for k, _, y in rows if k % 5 == 0]) > 0.9
+
+
 def test_hashes_do_not_depend_on_batches():
     r = random.Random(6)
     texts = [" ".join(r.choice(WORDS) for _ in range(r.randrange(0, 50))) + r.choice(["", "\n", "é ü"]) for _ in range(50)] + ["", None, "A b", "a B"]
