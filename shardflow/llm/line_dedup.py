@@ -81,14 +81,15 @@ def key_digest(key: bytes) -> bytes:
 
 
 def suspects(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = FILTER_BITS) -> DataFrame:
-    """Rows (key digest, document, its first line with the key) of the keys that the twice-seen filter may hold."""
+    """Rows (document, hash of its text, key digest, its first line with the key) of the keys that the twice-seen
+    filter may hold."""
     shared = docs.sparkSession.sparkContext.broadcast(seen_twice(docs, text, bits))
 
     def find(batches):
         seen = shared.value
         for b in batches:
-            ids, digests, first = [], [], []
-            for i, texts in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            ids, hashes, digests, first = [], [], [], []
+            for i, h, texts in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 keys: dict[bytes, int] = {}
                 for n, k in enumerate(line_keys(texts)):
                     keys.setdefault(k, n)
@@ -99,11 +100,12 @@ def suspects(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits:
                 at = _probes(listed, bits)
                 for k in np.flatnonzero(((seen[at >> 3] << (at & 7).astype(np.uint8)) & 128 > 0).all(axis=1)):
                     ids.append(i)
+                    hashes.append(h)
                     digests.append(key_digest(listed[k]))
                     first.append(keys[listed[k]])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(first, pa.int64())], ["id", "key", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(digests, pa.binary()), pa.array(first, pa.int64())], ["id", "hash", "key", "line"])
 
-    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(find, "id long, key binary, line long")
+    return docs.select(F.col(doc_id).cast("long"), text, F.xxhash64(text)).mapInArrow(find, "id long, hash long, key binary, line long")
 
 
 def dedup_lines(
@@ -158,16 +160,20 @@ def dedup_lines(
 
         return plain.mapInArrow(by_broadcast, out)
 
-    # too many keys to broadcast: each document gets the list of its own dropped keys (as long as its lines)
-    own = (
-        found.join(common, "key").groupBy("id").agg(F.collect_list(F.struct("key", (F.col("first.id") == F.col("id")).alias("kept"), F.col("first.line").alias("at"))).alias("_drop"))
-    )
-    joined = plain.join(own.withColumnRenamed("id", "_id"), F.col(doc_id).cast("long") == F.col("_id"), "left").drop("_id")
+    # too many keys to broadcast: each row gets the list of its text's dropped keys (as long as its lines).  Equal texts
+    # have equal lists; where the hashes of two texts are equal, both get the keys of either, which drops no more lines.
+    own = found.select("hash", "key").distinct().join(common, "key").groupBy("hash").agg(F.collect_list(F.struct("key", "first")).alias("_drop"))
+    joined = plain.withColumns({"_id": F.col(doc_id).cast("long"), "_hash": F.xxhash64(text)}).join(own.withColumnRenamed("hash", "_text"), F.col("_hash") == F.col("_text"), "left").drop("_hash", "_text")
 
     def by_join(batches):
         for b in batches:
-            lists = b.column(len(schema)).to_pylist()
-            yield clean(b, lambda row: {bytes(x["key"]): x["at"] if keep_first and x["kept"] else -1 for x in lists[row] or []})
+            ids, lists = b.column(len(schema)).to_pylist(), b.column(len(schema) + 1).to_pylist()
+
+            def dropped_of(row):
+                keys = {bytes(x["key"]): (x["first"]["id"], x["first"]["line"]) for x in lists[row] or []}
+                return _Kept(keys, ids[row]) if keep_first else _Dropped(keys)
+
+            yield clean(b, dropped_of)
 
     return joined.mapInArrow(by_join, out)
 

@@ -49,6 +49,21 @@ def test_keep_first(spark, texts, broadcast_keys):
         assert got[i] == "\n".join(left)
 
 
+@pytest.mark.parametrize("broadcast_keys", [1000, 0])
+def test_null_and_repeated_ids(spark, texts, broadcast_keys):
+    """What a row loses depends on its text alone, whatever its doc_id; equal by both ways."""
+    ids = [None if k % 3 == 0 else 7 if k % 3 == 1 else k for k in range(len(texts))]
+    docs = spark.createDataFrame([(k, i, t) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], "row long, doc_id long, text string")
+    got = {r["row"]: (r["text"] or "", r["n_dropped"]) for r in dedup_lines(docs, min_docs=30, broadcast_keys=broadcast_keys).collect()}
+    assert got == {k: ("\n".join(left), len((texts[k] or "").split("\n")) - len(left)) for k, left in enumerate(brute(texts, 30))}
+
+
+def test_keep_first_by_both_ways(spark, texts):
+    docs = spark.createDataFrame([(k, None if k % 50 == 9 else k // 2, t) for k, t in enumerate(texts)], "row long, doc_id long, text string")
+    one, other = ({(r["row"], r["text"]) for r in dedup_lines(docs, min_docs=30, keep_first=True, broadcast_keys=n).collect()} for n in (1000, 0))
+    assert one == other
+
+
 def test_odd_rows(spark, odd):
     out = dedup_lines(odd, min_docs=2)
     assert sorted(out.columns) == sorted({*odd.columns, "n_dropped"})
