@@ -213,8 +213,8 @@ _SUMS = "count(*)::BIGINT AS cells, min(i0)::BIGINT AS first, sum(v)::BIGINT AS
 
 
 def _sums(a: ShardedArray) -> DataFrame:
-    """Contents of each shard after its cells were moved there: the aggregate needs no further shuffle."""
-    found = a.placed().groupBy("shard").agg(F.count("*").alias("cells"), F.min("i0").alias("first"), F.sum("v").alias("v_sum"))
+    """Contents of each shard: partial aggregates before the shuffle, so that no shard passes whole through a task."""
+    found = a.sharded().groupBy("shard").agg(F.count("*").alias("cells"), F.min("i0").alias("first"), F.sum("v").alias("v_sum"))
     return found.withColumn("shard", F.col("shard").cast("long"))
 
 
@@ -458,8 +458,7 @@ V4 = "V/2@0, 64/4@1"
 @_query("reshard_sg_2d", _shards_sql(_VECTORS_SQL, V4, _STATS))
 def reshard_sg_2d(spark: SparkSession, d: str) -> DataFrame:
     a = _to(spark, d, _vectors(spark, d, V2), V4)
-    found = a.placed().groupBy("shard").agg(F.count("*").alias("cells"), F.min("v").alias("v_min"), F.max("v").alias("v_max"))
-    return found.withColumn("shard", F.col("shard").cast("long"))
+    return a.shard_stats()
 
 
 @_query("reshard_roundtrip", _shards_sql(_EVENTS_SQL, E1, _SUMS))

@@ -32,6 +32,14 @@ def test_query(spark, con, name):
     assert normal(got.select(*names).collect()) == normal(want.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", ["tile_fill", "reshard_gather", "reshard_broadcast", "reshard_partial_to_replicated", "reshard_sg_2d"])
+def test_shards_are_aggregated_before_they_move(spark, name):
+    """Where a layout has one shard, or whole replicas, only partial results are shuffled, not the cells."""
+    plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION" not in plan and plan.index("Exchange") < plan.rindex("partial_")
+
+
 def test_entry_points():
     import __spark_entry__ as e
 
