@@ -47,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _POWERS["n"] < n:
         n = max(n, 1 << 16)
         with np.errstate(over="ignore"):
@@ -85,7 +85,7 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, size: int =
         j = max(i + 1, int(np.searchsorted(end, start[i] + size, "right")))
         low, s, e = start[i], start[i:j] - start[i], end[i:j] - start[i]
         part = data[low : end[j - 1]]
-        p, q = _powers(len(part) + 1)
+        p, q = powers(len(part) + 1)
         with np.errstate(over="ignore"):
             total = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(_BYTE[part] * p[: len(part)], out=total[1:])

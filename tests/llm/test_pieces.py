@@ -1,7 +1,8 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from shardflow.llm import pieces as P
 from shardflow.llm.pieces import Pieces, decode, encode, encode_words, load_pieces
@@ -69,7 +70,36 @@ def test_viterbi_of_a_unigram_table(spark):
             assert "".join(back[i] for i in x["ids"]) == x["w"]
 
 
-def test_lattice_moves_no_rows(spark):
-    words = spark.createDataFrame([("▁the", 1)], "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    plan = P.lattice(words, load_pieces(PIECE_MODEL))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and "CartesianProduct" not in plan
+def test_rows_move_once(spark, odd):
+    plan = encode(odd, load_pieces(PIECE_MODEL))._jdf.queryExecution().executedPlan().toString()
+    assert plan.replace("BroadcastExchange", "").count("Exchange") == 1 and "CartesianProduct" not in plan and "SortMergeJoin" not in plan
+
+
+def test_long_words(spark, model):
+    """Boundaries in one number and in many: the words here have no cuts, or few."""
+    r = random.Random(9)
+    words = ["▁" + "".join(r.choice("aeinorst") for _ in range(n)) for n in (1, 58, 59, 60, 61, 62, 63, 64, 65, 96, 97, 200, 1000)]
+    rows = encode_words(spark.createDataFrame([(w, 1) for w in words], "w string, n long"), load_pieces(PIECE_MODEL)).collect()
+    assert {x["w"]: x["ids"] for x in rows} == {w: model.encode(w[1:]) for w in words}
+
+
+def test_kind_of_the_model():
+    assert load_pieces(PIECE_MODEL).bpe
+    assert P._is_bpe(b"\x12\x02\x18\x02") and not P._is_bpe(b"\x12\x02\x18\x01") and not P._is_bpe(b"")
+    with pytest.raises(ValueError):
+        P._is_bpe(b"\x12\x02\x18\x03")
+    with pytest.raises(ValueError, match="order of their ranks"):
+        Pieces((("a", 0, 0.0), ("b", 1, -1.0), ("c", 2, -2.0), ("bc", 3, -9.0), ("abc", 4, -3.0)), -1, 0, bpe=True).merges()
+
+
+CUTTER = P.Cutter(load_pieces(PIECE_MODEL).neighbours)
+
+
+@settings(max_examples=300, deadline=None, suppress_health_check=list(HealthCheck))
+@given(text=st.text("ab ▁1é\n漢.", max_size=40))
+def test_words_are_encoded_by_themselves(model, text):
+    for _, whole, start, end, _, _ in CUTTER.words([text]):
+        words = [whole[a:b] for a, b in zip(start, end, strict=True)]
+        assert "".join(words) == ("▁" + text.replace(" ", "▁") if text else "")
+        # a line feed is in no piece: the space and the byte before a word are taken off again
+        assert sum((model.encode("\n" + w)[2:] for w in words), []) == model.encode(text)
