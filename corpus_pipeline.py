@@ -51,7 +51,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The piece ids of each document."""
-    return encode(docs.select("doc_id", "text"), load_pieces(PIECE_MODEL)).select("doc_id", "ids")
+    return encode(docs.select("doc_id", "text"), load_pieces(PIECE_MODEL), keep_text=False)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near", near), ("benchmark", benchmark), ("pieces", pieces)]
