@@ -32,6 +32,8 @@ from shardflow.llm.common import bounded_batches, shared_dir, stored
 
 #: A file is closed after so many bytes of records; a record is never split.
 ROLL_BYTES, LEVEL = 64 << 20, 1
+#: The most tasks that rewrite or read archives.
+TASKS = 50_000
 #: The most groups of equal payloads (36 bytes each) that are broadcast; beyond it payloads are shuffled to their group.
 BROADCAST_GROUPS = 300_000
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -127,6 +129,11 @@ def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:0
     return records.select("page_id", "url", "payload", "refers_to").mapInArrow(write, "path string")
 
 
+def _a_task_each(archives: DataFrame) -> DataFrame:
+    """Paths dealt out evenly, a task for each up to ``TASKS`` (their rows are tiny: left to itself, Spark would merge them)."""
+    return archives.repartition(max(1, min(TASKS, archives.count())))
+
+
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """Rewrite each archive with a gzip member for each record, and a sidecar index; the paths written."""
 
@@ -150,7 +157,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                         offset += len(member)
                 yield _paths([f"{folder}/{name}"])
 
-    return archives.repartition("path").mapInArrow(rewrite, "path string")
+    return _a_task_each(archives).mapInArrow(rewrite, "path string")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -185,7 +192,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 for i in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 10_000], strict=True), kinds, strict=True)], names)
 
-    return archives.repartition("path").mapInArrow(scan, RECORDS)
+    return _a_task_each(archives).mapInArrow(scan, RECORDS)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0, folder: str | None = None, roll_bytes: int = ROLL_BYTES) -> DataFrame:

@@ -1,11 +1,14 @@
 import base64
 import gzip
 import hashlib
+import zlib
 
 import pytest
 
-from shardflow.llm.common import shared_dir
-from shardflow.llm.warc import normalise, parse, plan_records, round_trip, write_archives
+from pyspark.sql import functions as F
+
+from shardflow.llm.common import shared_dir, stored
+from shardflow.llm.warc import normalise, parse, plan_records, read_archives, round_trip, write_archives
 
 
 @pytest.mark.parametrize("least", [0, 5])
@@ -39,7 +42,9 @@ def test_members_and_index(spark):
     raw = write_archives(plan_records(df), f"{folder}/raw").collect()
     for r in raw:
         data = open(r["path"].removeprefix("file://"), "rb").read()
-        assert data.count(b"\x1f\x8b\x08") >= 1
+        stream = zlib.decompressobj(31)
+        stream.decompress(data)
+        assert stream.eof and not stream.unused_data  # one member
     new = normalise(spark.createDataFrame(raw), f"{folder}/normal").collect()
     seen = 0
     for r in new:
@@ -55,3 +60,14 @@ def test_members_and_index(spark):
             seen += 1
         assert end == len(data)
     assert seen == 40
+
+
+def test_archives_are_dealt_out(spark):
+    folder = shared_dir(spark, "warc-test")
+    df = spark.createDataFrame([(k, None, f"page {k}") for k in range(40)], "page_id long, url string, html string").coalesce(1)
+    raw = stored(write_archives(plan_records(df).coalesce(1), f"{folder}/raw", roll_bytes=1), "warc-raw")
+    assert raw.count() == 40
+    tasks = normalise(raw, f"{folder}/normal").withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(tasks) == 40 and all(t["count"] == 1 for t in tasks)
+    normal = normalise(raw, f"{folder}/normal-2")
+    assert read_archives(stored(normal, "warc-normal")).rdd.getNumPartitions() == 40
