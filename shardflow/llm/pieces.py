@@ -37,12 +37,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardflow.llm.common import bounded_batches, mix, powers, stored
+from shardflow.llm.common import bounded_batches, mix, powers, stored, without
 
 SPACE = "▁"
-FREQUENT = 1 << 18
+FREQUENT = 1 << 19
 #: Characters that are looked at together, and those whose words a task gets; the most tasks; the most words grouped without a sort.
-RUN, TASK_CHARS, TASKS, GROUPS = 1 << 20, 1 << 22, 20_000, 100_000
+RUN, TASK_CHARS, TASKS, GROUPS = 1 << 20, 1 << 21, 20_000, 100_000
 #: The longest word whose boundaries are the bits of one number; the flag of ids that are characters without a piece.
 BITS, UNKNOWN = 61, 1 << 27
 
@@ -399,7 +399,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep_text: bool
     spark = docs.sparkSession
     bounded_batches(spark)
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPS))
-    docs = docs.drop("ids")
+    docs = without(docs, "ids")
     counted = stored(_often(docs, text, pieces), "pieces-words")
     chars = counted.filter("w IS NULL").agg(F.sum("n")).first()[0] or 0
     tasks = min(TASKS, 1 + chars // TASK_CHARS)
