@@ -27,8 +27,10 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    """A new folder below ``spark.checkpoint.dir``, which all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -187,6 +189,12 @@ def add_counts(dtype):
     return lambda old, new: (np.frombuffer(old, dtype) + np.frombuffer(new, dtype)).tobytes()
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """The table without the columns of these names, in any case, as Spark tells names apart."""
+    lower = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lower])
+
+
 def crc_of(doc_id) -> F.Column:
     """crc32 of an id as text."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))

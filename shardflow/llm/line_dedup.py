@@ -120,7 +120,7 @@ def dedup_lines(
     bounded_batches(docs.sparkSession)
     found = stored(suspects(docs, doc_id, text, bits), "line-suspects")
     common = stored(found.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "line")).alias("first")).filter(F.col("n") >= min_docs), "line-common")
-    schema = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
+    schema = [f for f in docs.schema.fields if f.name.lower() not in ("n_lines", "n_dropped")]
     plain, t = docs.select(*[F.col(f"`{f.name}`") for f in schema]), [f.name for f in schema].index(text)
     named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 

@@ -12,9 +12,13 @@ each group's union of prefix shingles with its extent of sizes and positions.  A
 overlap it can have with any member of a group is bounded, and only groups that qualify are opened, member by
 member.  Pairs within a group are never listed, and every pair across groups that can link is checked exactly.
 
+The bound: two sets have at most as many shingles in common as their prefixes have, and one more for each that the
+larger has behind its prefix.  What the prefix of a query and the union of a group share is summed over the matrix.
+
 Null texts and texts without words have empty sets, which link with nothing; rows with a null doc_id have a null
-component.  Rows with one doc_id count as linked.  Ties are settled by the smaller doc_id; other columns are
-ignored; an empty table gives an empty result.
+component and link nothing.  Each row links by its own text: rows with one doc_id and different texts may be of
+different components.  Representatives are known by a 64-bit hash of their set.  Ties are settled by the smaller hash;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -60,9 +64,15 @@ def _counts(docs: DataFrame, text: str, n: int) -> np.ndarray:
     return dense(docs.select(text).mapInArrow(run, "chunk int, values binary"), CHUNKS, np.uint32, add_counts(np.uint32))
 
 
+def _key(s: np.ndarray) -> int:
+    """The hash of a set, by which it is known."""
+    with np.errstate(over="ignore"):
+        return int(s.sum().view(np.int64))
+
+
 def prefixes(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """Rows (id, n, s1, s2, rank, prefix, often): size, hash of the whole set, count of its rarest shingle, its prefix
-    in order and the counts by which it is ordered."""
+    """Rows (id, text_hash, n, s1, s2, rank, prefix, often): size, hashes of the whole set, count of its rarest shingle,
+    its prefix in order and the counts by which it is ordered."""
     count = _counts(docs, text, n)
     shared = docs.sparkSession.sparkContext.broadcast(count if len(count) else np.zeros(1 << COUNT_BITS, np.uint32))
 
@@ -74,8 +84,8 @@ def prefixes(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> D
                 keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 order = np.lexsort((s.view(np.int64), often))[:keep]
                 size.append(len(s))
+                h1.append(_key(s))
                 with np.errstate(over="ignore"):
-                    h1.append(int(s.sum().view(np.int64)))
                     h2.append(int(((s ^ (s >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)).sum().view(np.int64)))
                 rank.append(int(often[order[0]]) if keep else 0)
                 heads.append(s[order].view(np.int64))
@@ -83,9 +93,9 @@ def prefixes(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> D
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)
             flat, often = (pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (heads, counts))
             lists = [pa.ListArray.from_arrays(pa.array(offsets), x) for x in (flat, often)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(rank, pa.int64()), *lists], ["id", "n", "s1", "s2", "rank", "prefix", "often"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(rank, pa.int64()), *lists], ["id", "text_hash", "n", "s1", "s2", "rank", "prefix", "often"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), text).mapInArrow(run, "id long, n int, s1 long, s2 long, rank long, prefix array<long>, often array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("id"), text, F.xxhash64(text).alias("text_hash")).mapInArrow(run, "id long, text_hash long, n int, s1 long, s2 long, rank long, prefix array<long>, often array<long>")
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -132,17 +142,21 @@ def _repeated(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "n", "rank", "prefix").mapInArrow(keep, "rep long, n int, rank long, pos int, token long")
 
 
-def _only(df: DataFrame, doc_id: str, pairs: DataFrame) -> DataFrame:
-    """The rows whose id is in a pair; ids are broadcast behind a check of their number."""
-    ids = stored(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "ngram-ids")
+def _only(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose column is in a table of ids, which is broadcast behind a check of its size."""
+    ids = stored(ids.toDF("_id").distinct(), "ngram-ids")
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return df.join(few, F.col(doc_id).cast("long") == F.col("_id"), "left_semi")
+    return df.join(few, F.col(column).cast("long") == F.col("_id"), "left_semi")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a").union(pairs.select("b"))
 
 
 def _prefixes_allow(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that may link by their whole prefixes.  A shingle of a's prefix that stands no later in the order
     than the end of b's prefix and isn't in that prefix isn't in b at all."""
-    heads = _only(reps, "rep", pairs)
+    heads = _only(reps, "rep", _ends(pairs))
     both = pairs
     for x in "ab":
         both = both.join(heads.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "prefix", "often")]), x)
@@ -158,31 +172,32 @@ def _prefixes_allow(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFram
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets link."""
     pairs = stored(_prefixes_allow(stored(pairs, "ngram-candidates"), reps, percent), "ngram-pairs")
-    needed = _only(docs, doc_id, pairs).select(F.col(doc_id).cast("long").alias("id"), text)
+    needed = _only(docs, doc_id, _only(reps, "rep", _ends(pairs)).select("id")).select(text)
 
     def run(batches):
         for b in batches:
-            found = [s.view(np.int64) for s in sets_of(b.column(1), n)]
+            found = [s.view(np.int64) for s in sets_of(b.column(0), n)]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in found], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["k", "s"])
 
-    sets = stored(needed.mapInArrow(run, "id long, s array<long>"), "ngram-sets")
-    left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    sets = stored(needed.mapInArrow(run, "k long, s array<long>"), "ngram-sets")
+    left, right = sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), sets.select(F.col("k").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.filter(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+    return both.filter(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id): the smallest doc_id that is reached by links."""
+    """Rows (doc_id, n_shingles, component_id, text_hash): the smallest doc_id that is reached by links; xxhash64 of the
+    text, which tells rows of one doc_id apart."""
     bounded_batches(docs.sparkSession)
     sets = stored(prefixes(docs, n, percent, doc_id, text), "ngram-prefixes")
     reps = sets.filter("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "rank", "prefix", "often")).alias("r"))
-    reps = stored(reps.select("s1", "s2", "n", F.col("r.id").alias("rep"), "r.rank", "r.prefix", "r.often"), "ngram-representatives")
+    reps = stored(reps.select("s2", "n", F.col("s1").alias("rep"), "r.id", "r.rank", "r.prefix", "r.often"), "ngram-representatives")
     entries = _repeated(reps)
 
     # prefix shingles of two or more representatives, with the one that the others are checked against first
-    best = F.max(F.struct("rank", (-F.col("rep")).alias("order"), "rep", "n", "pos")).alias("pivot")
+    best = F.max(F.struct("rank", F.bitwise_not("rep").alias("order"), "rep", "n", "pos")).alias("pivot")
     shared = entries.groupBy("token").agg(F.count("*").alias("c"), best).filter("c > 1").select("token", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pn"), F.col("pivot.pos").alias("ppos"))
     entries = stored(entries.drop("rank").join(shared, "token"), "ngram-entries")
 
@@ -194,24 +209,39 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     links = stored(_verified(stars, reps, docs, n, percent, doc_id, text), "ngram-links")
     group = components(links)
 
+    sizes = group.groupBy("component").agg(F.count("*").alias("gsize"))
+    group = group.join(sizes, "component").withColumnRenamed("node", "rep")
+
     # the matrix: for each prefix shingle the groups that have it
-    entries = entries.select("token", "rep", "n", "pos").join(group.withColumnRenamed("node", "rep"), "rep", "left")
-    entries = stored(entries.withColumn("grp", F.coalesce("component", "rep")).drop("component"), "ngram-grouped")
-    matrix = entries.groupBy("token", "grp").agg(F.count("*").alias("m"), F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.min("pos").alias("pos_low"))
-    several = matrix.groupBy("token").agg(F.count("*").alias("k"), F.max(F.struct("m", "grp")).alias("top")).filter("k > 1")
+    entries = entries.select("token", "rep", "n").join(group, "rep", "left")
+    entries = stored(entries.select("token", "rep", "n", F.coalesce("component", "rep").alias("grp"), F.coalesce("gsize", F.lit(1)).alias("gsize")), "ngram-grouped")
+    matrix = entries.groupBy("token", "grp").agg(F.max("gsize").alias("gsize"), F.min("n").alias("n_low"), F.max("n").alias("n_high"))
+    several = matrix.groupBy("token").agg(F.count("*").alias("k"), F.max(F.struct("gsize", "grp")).alias("top")).filter("k > 1")
     matrix = stored(matrix.join(several.select("token", "top"), "token"), "ngram-matrix")
-    queries = entries.join(matrix.select("token", "grp", F.col("m").alias("qm"), "top"), ["token", "grp"]).filter(F.col("grp") != F.col("top.grp"))
-    queries = queries.select("token", F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("pos").alias("qpos"), F.col("grp").alias("qgrp"), "qm")
-    # a query of the smaller group of two meets the larger; the bound holds for any member
-    larger = (F.col("qm") < F.col("m")) | ((F.col("qm") == F.col("m")) & (F.col("qgrp") < F.col("grp")))
-    reach = F.least(F.col("qn") - F.col("qpos"), F.col("n_high") - F.col("pos_low"))
-    bound = (reach >= _needed(F.col("qn"), F.col("n_low"), percent)) & (100 * F.col("n_high") >= percent * F.col("qn")) & (100 * F.col("qn") >= percent * F.col("n_low"))
-    qualify = queries.join(matrix.drop("top").withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & larger & bound).select("token", "q", "qn", "qpos", "grp")
-    members = entries.select(F.col("token").alias("t"), F.col("grp").alias("g"), "rep", "n", "pos")
-    opened = qualify.join(members, (F.col("token") == F.col("t")) & (F.col("grp") == F.col("g")) & may_link("qn", "qpos", "n", "pos"))
-    more = _verified(opened.select(F.col("q").alias("a"), F.col("rep").alias("b")).distinct(), reps, docs, n, percent, doc_id, text)
+    queries = entries.join(matrix.select("token", "grp", "top"), ["token", "grp"]).filter(F.col("grp") != F.col("top.grp"))
+    queries = queries.select("token", F.col("rep").alias("q"), F.col("n").alias("qn"), F.struct("gsize", "grp").alias("own"))
+
+    def enough(c: str, n_low: str, n_high: str) -> Column:
+        """Whether a set of qn shingles that shares c of its prefix can link with one of n_low to n_high shingles."""
+        qn, share = F.col("qn"), percent / 100.0
+        low, high = F.greatest(F.col(n_low), share * qn - 1e-6), F.least(F.col(n_high), qn / share + 1e-6)
+        least = [(qn + m) * (share / (1 + share)) - F.greatest(qn, m) * share for m in (low, high)]
+        return (low <= high) & (F.col(c) >= F.least(*least) - 1e-6)
+
+    # a query of the smaller group of two meets the larger, and opens it if what both share can be enough
+    fits = (100 * F.col("n_high") >= percent * F.col("qn")) & (100 * F.col("qn") >= percent * F.col("n_low"))
+    met = queries.join(matrix.drop("top").withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & (F.col("own") < F.struct("gsize", "grp")) & fits)
+    met = met.groupBy("q", "qn", "grp").agg(F.count("*").alias("c"), F.min("n_low").alias("n_low"), F.max("n_high").alias("n_high"))
+    qualify = stored(met.filter(enough("c", "n_low", "n_high")).select(F.col("q").alias("k"), F.col("grp").alias("g")), "ngram-qualify")
+    members = entries.select(F.col("token").alias("t"), "grp", "rep", "n")
+    opened = qualify.join(queries, F.col("k") == F.col("q")).join(members, (F.col("token") == F.col("t")) & (F.col("g") == F.col("grp")))
+    opened = opened.groupBy("q", "qn", "rep", "n").agg(F.count("*").alias("c")).filter(enough("c", "n", "n"))
+    more = _verified(opened.select(F.col("q").alias("a"), F.col("rep").alias("b")), reps, docs, n, percent, doc_id, text)
 
     linked = components(links.union(more)).withColumnRenamed("node", "rep")
-    named = reps.select("s1", "s2", "n", "rep").join(linked, "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
-    return out.select(F.col("id").alias(doc_id), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    named = reps.select(F.col("rep").alias("s1"), "s2", "n", "id", "rep").join(linked, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = stored(named.join(least, "component").select("s1", "s2", "n", "component_id"), "ngram-components")
+    out = sets.select("id", "text_hash", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id")
+    return out.select(F.col("id").alias(doc_id), F.col("n").cast("long").alias("n_shingles"), component, "text_hash")

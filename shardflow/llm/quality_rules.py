@@ -57,7 +57,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("_lines").alias("_n_lines"),
     )
     # as the row of a generator: later filters on a measure then look at its value and don't compute it again
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return out.select(*kept, F.inline(F.array(measures)))
 
 

@@ -39,7 +39,7 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its set of 3-word shingles and its class at a Jaccard similarity of 0.9."""
-    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=90)
+    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=90).drop("text_hash")
 
 
 OP3_SQL = r"""

@@ -64,6 +64,31 @@ def test_odd_rows(spark, odd):
     assert near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_rows_of_one_doc_id_link_by_their_own_texts(spark):
+    a, b = " ".join(WORDS[:12]), " ".join(WORDS[12:])
+    rows = [(2, a), (4, a), (4, b), (9, b), (None, b), (3, b + " end"), (3, b + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(text) AS h").collect()}
+    got = sorted((r["doc_id"] or 0, r["text_hash"], r["component_id"]) for r in near_duplicates(df).collect())
+    want = [(2, a, 2), (4, a, 2), (4, b, 3), (9, b, 3), (0, b, None), (3, b + " end", 3), (3, b + " end", 3)]
+    assert got == sorted((i, hashes[t], c) for i, t, c in want)
+
+
+def test_chains_of_groups(spark):
+    """Groups that link through one pair of members only, among many that share shingles and don't link."""
+    r = random.Random(11)
+    base = [r.choice(WORDS) + str(k) for k in range(100)]
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for j in range(k):
+            w[(j * 37) % 100] = f"new{j if k % 3 else (j, k)}"
+        rows.append((k, " ".join(w)))
+    r.shuffle(rows)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute(rows, 2, 80)
+
+
 def test_components(spark):
     r = random.Random(3)
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(25)] + [(7, 7)]
