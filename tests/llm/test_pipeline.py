@@ -58,3 +58,30 @@ def test_stages(spark, folder):
 
 def test_names_of_the_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near", "benchmark", "pieces"]
+
+
+def test_rows_of_one_doc_id_lose_no_text(spark, folder):
+    """Of (2, a), (4, a), (4, b), (9, b) a text stays for each of a and b; columns that clash are no matter."""
+    a, b = " ".join(WORDS[:12]), " ".join(WORDS[12:])
+    d = folder[0]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [(2, a), (4, a), (4, b), (9, b)]], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near(spark, docs, d).collect()) == [(2, a), (4, b)]
+
+
+def test_odd_tables(spark, folder, tmp_path):
+    """Empty tables, long texts, repeated rows, null ids and texts, columns that clash with those of the stages."""
+    import shutil
+
+    d = str(tmp_path)
+    for t in ("labels", "benchmark"):
+        shutil.copytree(f"{folder[0]}/{t}.parquet", f"{d}/{t}.parquet")
+    long = " ".join(WORDS[k % 24] + str(k) for k in range(20_000))
+    rows = [(1, long, 1, 0.5), (2, long, 1, 0.5), (3, None, 1, 0.5), (4, "", 1, 0.5), (None, "x y z", 1, 0.5), (5, "again", 1, 0.5), (5, "again", 1, 0.5)]
+    schema = "doc_id long, text string, N_Lines long, score double, kept string, ids int, n_chars long"
+    df = spark.createDataFrame([(i, t, n, x, "clash", 7, 3) for i, t, n, x in rows], schema)
+    for docs, want in ((df, 6), (df.limit(0), 0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, d)
+            assert docs.columns == df.columns
+        assert want in (docs.filter("kept = 'clash' AND N_Lines = 1").count(), 0)
+        assert corpus_pipeline.pieces(spark, docs, d).count() == docs.count()
