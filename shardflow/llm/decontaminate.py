@@ -1,19 +1,22 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
-Texts and benchmark items are runs of letters and digits, A-Z lower-cased, joined by one space.  The CGK random
-walk reads a sequence of words: at step j it writes the word under its pointer, and a random bit of (step, word)
-says whether the pointer moves on, so that sequences of small edit distance come to agree in most places.  A
-repeat samples the first and some other steps of a walk; items and all item-sized windows of every text with the
-same sample meet.  Repeats have walks of their own and begin at different places of an item, from its start to
-its end, so that edits in one place leave the others; with 12 repeats, passages with a tenth of their words changed
-are met with a probability of over 0.99 (tests measure it).  A window that meets an item and has half of its words is
-verified by the exact edit distance in characters, with free ends in the window: at most ``percent`` of the
-item's length.
-
-Items are broadcast in blocks of at most ``block_bytes`` of text, each of which sees every text.  Null and empty
-texts match nothing, and so do items without a word.  Repeated rows and items match alike; of several places where
-a text has an item the nearest counts, of equally near ones the first.  Other columns are kept; empty tables give
-empty results.
+Texts and benchmark items are runs of letters and digits, A-Z lower-cased, joined by one space.  The CGK random walk reads
+characters: at each step it writes the one under its pointer, and a random bit of (step, character) says whether the
+pointer moves on, so that texts of small edit distance come to agree in most of the places written.  A repeat has a walk
+of its own and samples some of its places.  Walks begin at each word of an item and of a text; a sample that agrees
+places the whole item there, as a window of the item's size with room for the edits.  A window must be met from two words
+of an item that has 8 and more to begin at, from three words if it has 24 (``MANY``); with ``REPEATS`` walks at each word,
+items of 15 words and more are met with a probability of over 0.9 even where a fifth of their characters are edited
+(tests measure it against exact distances); shorter ones have fewer places to begin.
+
+A window that meets an item is compared by its 4-character grams first: an edit changes at most four, so a window with
+fewer of the item's than its length, less 3 and 4 for each edit allowed, can't match.  The others are verified by the exact
+edit distance in characters, with free ends in the window: at most ``percent`` of the item's length.
+
+Items are broadcast in blocks of about ``block_bytes`` of text, each of which sees every text.  Null and empty texts match
+nothing, and so do items without a word.  Repeated rows and items match alike; of several texts of an item and of several
+places where a text has it the nearest counts, of equally near ones the first.  Other columns are kept (``matches`` is
+replaced by with_matches and kept by decontaminate); empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,32 +27,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardflow.llm.common import _LOWER, _RUN_CLASS, bounded_batches, hash_spans, mix, texts_of
+from shardflow.llm.common import _LOWER, _RUN_CLASS, bounded_batches, mix, texts_of, without
 
-REPEATS, STEPS, SAMPLES = 12, 8, 5
+#: Walks, their steps, the places sampled and those of them that a table of bits is asked for first.
+REPEATS, STEPS, SAMPLES, EARLY = 6, 24, 16, 8
+#: Items with so many words to begin at must be met from two of them, or from three.
+MANY = (8, 24)
+TABLE_BITS, GRAM_BITS = 22, 13
 MATCHES = "array<struct<item_id:bigint,distance:int,first_word:int>>"
 
 
-def _runs(data: np.ndarray, offsets: np.ndarray):
-    kind = _RUN_CLASS[data]
-    change = np.ones(len(data) + 1, bool)
-    change[1:-1] = kind[1:] != kind[:-1]
-    change[offsets] = True
-    at = np.flatnonzero(change)
-    use = kind[at[:-1]] == 1
-    start, end = at[:-1][use], at[1:][use]
-    return hash_spans(_LOWER[data], start, end), start, end, np.searchsorted(start, offsets)
+def _plain(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all texts as runs of letters and digits, a space behind each, and where each text begins."""
+    use = _RUN_CLASS[data] == 1
+    last = use.copy()
+    last[:-1] &= ~use[1:]
+    ends = offsets[1:][np.diff(offsets) > 0] - 1
+    last[ends] = use[ends]
+    at = np.flatnonzero(use)
+    plain = np.insert(_LOWER[data[at]], np.flatnonzero(last[at]) + 1, 32)
+    # places of texts among the bytes kept, then among characters (bytes that begin one)
+    kept = np.searchsorted(at, offsets)
+    kept = kept + np.searchsorted(np.flatnonzero(last), offsets)
+    chars = np.frombuffer(plain.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    begins = np.concatenate([[0], np.cumsum((plain & 0xC0) != 0x80)])
+    return chars, begins[kept]
 
 
-def distance(item: str, window: str) -> int:
-    """The least edit distance of the item and any part of the window (bit-parallel, a bit for each character)."""
+def _words(chars: np.ndarray) -> np.ndarray:
+    """Where words begin."""
+    return np.flatnonzero((chars != 32) & (np.concatenate([[32], chars[:-1]]) == 32)) if len(chars) else np.zeros(0, np.int64)
+
+
+def _codes(chars: np.ndarray) -> np.ndarray:
+    return np.concatenate([((chars ^ (chars >> 8)) & 255).astype(np.uint8), np.zeros(STEPS, np.uint8)])
+
+
+def _grams(chars: np.ndarray) -> np.ndarray:
+    """A number of 13 bits for each four characters."""
+    c = np.concatenate([chars, np.zeros(3, chars.dtype)]).astype(np.uint64)
+    g = c[:-3] | c[1:-2] << np.uint64(16) | c[2:-1] << np.uint64(32) | c[3:] << np.uint64(48)
+    return (mix(g) >> np.uint64(64 - GRAM_BITS)).astype(np.int32)
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each span, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def locate(item: str, window: str) -> tuple[int, int]:
+    """The least edit distance of the item and any part of the window (bit-parallel, a bit for each character), and the
+    end of the first such part."""
     m, masks = len(item), {}
     for k, c in enumerate(item):
         masks[c] = masks.get(c, 0) | 1 << k
     full, top = (1 << m) - 1, 1 << (m - 1)
     plus, minus, score = full, 0, m
-    best = m
-    for c in window:
+    best, end = m, 0
+    for at, c in enumerate(window, 1):
         x = masks.get(c, 0)
         d = (((x & plus) + plus) ^ plus) | x | minus
         up, down = minus | (full & ~(d | plus)), plus & d
@@ -61,129 +96,181 @@ def distance(item: str, window: str) -> int:
         down = down << 1 & full
         plus, minus = down | (full & ~(d | up)), up & d
         if score < best:
-            best = score
-    return best
+            best, end = score, at
+    return best, end
+
+
+def distance(item: str, window: str) -> int:
+    return locate(item, window)[0]
 
 
 class ItemIndex:
     """The samples of all repeats of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], percent: int, seed: int = 5):
-        column = pa.array([t for _, t in items], pa.string())
-        self.percent, self.items = percent, []
         rng = np.random.default_rng(seed)
-        self.seeds = rng.integers(0, 2**63, REPEATS, dtype=np.uint64)
-        picks = rng.random((REPEATS, STEPS - 1))
-        for first, data, offsets in texts_of(column):
-            hashes, start, end, bounds = _runs(data, offsets)
-            low = _LOWER[data].tobytes()
+        self.percent = percent
+        self.move = rng.integers(0, 2, (REPEATS, STEPS, 256), dtype=np.int64)
+        self.sampled = np.array([np.sort(rng.choice(STEPS, SAMPLES, replace=False)) for _ in range(REPEATS)])
+        parts, ids = [], []
+        for first, data, offsets in texts_of(pa.array([t for _, t in items], pa.string())):
+            chars, at = _plain(data, offsets)
             for k in range(len(offsets) - 1):
-                a, b = bounds[k], bounds[k + 1]
-                if b > a:
-                    words = [low[s:e] for s, e in zip(start[a:b], end[a:b], strict=True)]
-                    self.items.append((items[first + k][0], hashes[a:b], b" ".join(words).decode("utf-8", "replace"), frozenset(hashes[a:b].tolist())))
-        #: by size of the walk (all of an item, if it is short): steps sampled in each repeat
-        self.sizes = sorted({min(STEPS, len(x[1])) for x in self.items})
-        self.sampled = {s: [np.sort(np.append(0, 1 + np.argsort(picks[r, : s - 1])[: SAMPLES - 1])) for r in range(REPEATS)] for s in self.sizes}
-        self.first = {s: np.zeros(1 << 16, np.uint32) for s in self.sizes}
-        self.keys = {}
-        for s in self.sizes:
-            own = [(k, x) for k, x in enumerate(self.items) if min(STEPS, len(x[1])) == s]
+                if at[k + 1] > at[k]:
+                    parts.append(chars[at[k] : at[k + 1] - 1])
+                    ids.append(items[first + k][0])
+        self.ids, self.size = np.array(ids, np.int64), np.array([len(x) for x in parts], np.int64)
+        self.texts = [x.tobytes().decode("utf-32-le") for x in parts]
+        self.room = self.size * percent // 100 + 2
+        #: how many 4-character grams of an item any match has at least, and the grams of each item
+        self.least = self.size - 3 - 4 * (self.size * percent // 100)
+        self.grams = np.zeros((len(parts), (1 << GRAM_BITS) // 8), np.uint8)
+        for k, x in enumerate(parts):
+            g = np.zeros(1 << GRAM_BITS, bool)
+            g[_grams(x)] = True
+            self.grams[k] = np.packbits(g)
+        # walks begin at the words that have a walk's length behind them; items shorter than a walk have their own number of steps
+        self.steps = sorted({min(STEPS, n) for n in self.size.tolist()})
+        self.tables: dict = {}
+        self.need = np.ones(len(parts), np.int64)
+        for s in self.steps:
+            own = np.flatnonzero(np.minimum(self.size, STEPS) == s)
+            chars = np.concatenate([np.append(parts[k], np.uint32(32)) for k in own])
+            begin = np.concatenate([[0], np.cumsum(self.size[own] + 1)])
+            at = _words(chars)
+            item = np.searchsorted(begin, at, "right") - 1
+            inside = at - begin[item] + s <= self.size[own][item]
+            at, item = at[inside], item[inside]
+            self.need[own] = 1 + np.searchsorted(MANY, np.bincount(item, minlength=len(own)), "right")
             for r in range(REPEATS):
-                found: dict[int, list[tuple[int, int]]] = {}
-                for k, (_, h, _, _) in own:
-                    at = round((len(h) - s) * r / max(1, REPEATS - 1))
-                    self.first[s][int(h[at]) >> 48] |= np.uint32(1 << r)
-                    key = self._walk(np.append(h, np.zeros(1, np.uint64)), np.array([at]), np.array([len(h)]), s, r)[0]
-                    found.setdefault(int(key), []).append((k, at))
-                keys = sorted(found)
-                bounds = np.concatenate([[0], np.cumsum([len(found[x]) for x in keys])]).astype(np.int64)
-                self.keys[s, r] = np.array(keys, np.uint64), bounds, np.array([y for x in keys for y in found[x]], np.int64)
-
-    def _walk(self, words: np.ndarray, at: np.ndarray, stop: np.ndarray, steps: int, r: int) -> np.ndarray:
-        """Hashes of the sampled places of the walks that begin at ``at``; at ``stop`` a walk writes nothing more."""
-        key, place = np.full(len(at), self.seeds[r]), at.copy()
-        sampled = set(self.sampled[steps][r].tolist())
-        with np.errstate(over="ignore"):
-            for j in range(max(sampled) + 1):
-                w = np.where(place < stop, words[np.minimum(place, len(words) - 1)], np.uint64(0))
-                if j in sampled:
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + w)
-                place = place + ((w ^ self.seeds[r]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20 + j) & np.uint64(1)).astype(np.int64)
-        return key
+                early, key, _ = self._walk(_codes(chars), at, s, r)
+                bits = np.zeros(1 << TABLE_BITS, bool)
+                bits[early] = True
+                order = np.argsort(key, kind="stable")
+                keys, first = np.unique(key[order], return_index=True)
+                self.tables[s, r] = np.packbits(bits), keys, np.append(first, len(order)), own[item[order]], (at - begin[item])[order]
+
+    def _walk(self, codes: np.ndarray, at: np.ndarray, steps: int, r: int, known: np.ndarray | None = None):
+        """Of the walks that begin at ``at``: the early samples as a number, the keys of all samples, and which walks these are
+        (with ``known``, a table of bits, only those whose early samples it has)."""
+        key, place, which, early, seen = np.full(len(at), r + 1, np.uint64), at.copy(), np.arange(len(at)), None, 0
+        sampled = [j for j in self.sampled[r].tolist() if j < steps] if steps == STEPS else range(steps)
+        last = max(sampled)
+        for j in range(last + 1):
+            c = codes[place]
+            if j in sampled:
+                with np.errstate(over="ignore"):
+                    key = key * np.uint64(0x9E3779B97F4A7C15) + c + np.uint64(1)
+                seen += 1
+                if seen == min(EARLY, len(sampled)):
+                    early = (mix(key) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+                    if known is not None:
+                        stay = np.flatnonzero(known[early >> 3] << (early & 7).astype(np.uint8) & 128)
+                        key, place, which, c = key[stay], place[stay], which[stay], c[stay]
+            if j < last:
+                place = place + self.move[r, j][c]
+        return early, mix(key), which
+
+    def _met(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows (item, begin) of windows of the text: begin is a number of rooms of that item."""
+        items, begins, walks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for (s, r), (known, keys, ends, item, inside) in self.tables.items():
+            _, key, which = self._walk(codes, at, s, r, known)
+            spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = np.flatnonzero(keys[spot] == key)
+            first, last = ends[spot[hit]], ends[spot[hit] + 1]
+            pairs = _spans(first, last - first)
+            items.append(item[pairs])
+            walks.append(np.repeat(at[which[hit]], last - first))
+            begins.append(walks[-1] - inside[pairs])
+        item, begin, walk = map(np.concatenate, (items, begins, walks))
+        # how many words of a window meet the item; edits may move some to the next window
+        key = (item << 34) + (begin // self.room[item] + 1)
+        order = np.lexsort((walk, key))
+        key, walk = key[order], walk[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (walk[1:] != walk[:-1])
+        windows, count = np.unique(key[new], return_counts=True)
+        if not len(windows):
+            return np.zeros((2, 0), np.int64)
+        after = np.minimum(np.searchsorted(windows, windows + 1), len(windows) - 1)
+        count = count + np.where(windows[after] == windows + 1, count[after], 0)
+        windows = windows[count >= self.need[windows >> 34]]
+        return np.stack([windows >> 34, (windows & ((1 << 34) - 1)) - 1])
 
     def matches(self, column: pa.Array) -> list[list[tuple[int, int, int]]]:
         """For each text (item_id, distance, first word) of the items it has."""
         out: list[dict] = [{} for _ in range(len(column))]
-        for first, data, offsets in texts_of(column):
-            hashes, start, end, bounds = _runs(data, offsets)
-            if not len(hashes):
+        for first, data, offsets in texts_of(column) if len(self.ids) else ():
+            chars, bounds = _plain(data, offsets)
+            at = _words(chars)
+            if not len(at):
                 continue
-            stop = np.repeat(bounds[1:], np.diff(bounds))
-            place = (hashes >> np.uint64(48)).astype(np.int64)
-            met = []
-            for s in self.sizes:
-                mask = self.first[s][place]
-                some = np.flatnonzero(mask)
-                mask = mask[some]
-                for r in range(REPEATS):
-                    at = some[mask & np.uint32(1 << r) > 0]
-                    if not len(at):
-                        continue
-                    key = self._walk(hashes, at, stop[at], s, r)
-                    known, ends, pairs = self.keys[s, r]
-                    spot = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                    hit = np.flatnonzero(known[spot] == key)
-                    if len(hit):
-                        many = ends[spot[hit] + 1] - ends[spot[hit]]
-                        which = np.repeat(ends[spot[hit]] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-                        at = np.repeat(at[hit], many)
-                        met.append(np.stack([np.searchsorted(bounds, at, "right") - 1, pairs[which, 0], at - pairs[which, 1]]))
-            if not met:
+            item, begin = self._met(_codes(chars), at)
+            room = self.room[item]
+            low, high = np.maximum((begin - 1) * room, 0), np.minimum((begin + 3) * room + self.size[item], len(chars))
+            item, low, high = (x[low < high] for x in (item, low, high))
+            grams = _grams(chars)
+            for a in range(0, len(item), 4096):
+                part = slice(a, a + 4096)
+                size = high[part] - low[part]
+                g = grams[_spans(low[part], size)]
+                have = self.grams[np.repeat(item[part], size), g >> 3] << (g & 7).astype(np.uint8) & 128 > 0
+                count = np.add.reduceat(have, np.cumsum(size) - size, dtype=np.int64)
+                for k in (np.flatnonzero(count >= self.least[item[part]]) + a).tolist():
+                    self._verify(out, first, chars, bounds, at, int(item[k]), int(low[k]), int(high[k]))
+        return [[(i, d, p) for i, (d, p) in sorted(x.items())] for x in out]
+
+    def _verify(self, out, first, chars, bounds, at, item: int, low: int, high: int) -> None:
+        """The item in the texts that the window reaches into."""
+        text, m = self.texts[item], int(self.size[item])
+        for doc in range(int(np.searchsorted(bounds, low, "right")) - 1, int(np.searchsorted(bounds, high, "left"))):
+            a, b = max(low, int(bounds[doc])), min(high, int(bounds[doc + 1]))
+            if 100 * (m - (b - a)) > self.percent * m:
                 continue
-            low, listed = None, hashes.tolist()
-            for doc, k, begin in np.unique(np.concatenate(met, axis=1), axis=1).T.tolist():
-                a, b = int(bounds[doc]), int(bounds[doc + 1])
-                item_id, words, text, bag = self.items[k]
-                slack = len(words) * self.percent // 100 + 2
-                lo, hi = max(a, begin - slack), min(b, begin + len(words) + slack)
-                if 2 * len(bag.intersection(listed[lo:hi])) < len(bag):
-                    continue
-                seen = out[first + doc].get(item_id)
-                if seen is not None and seen[0] == 0:
-                    continue
-                low = low if low is not None else _LOWER[data].tobytes()
-                window = b" ".join(low[x:y] for x, y in zip(start[lo:hi], end[lo:hi], strict=True)).decode("utf-8", "replace")
-                d = distance(text, window)
-                if 100 * d <= self.percent * len(text) and (seen is None or (d, begin - a) < seen):
-                    out[first + doc][item_id] = (d, begin - a)
-        return [[(i, d, max(0, p)) for i, (d, p) in sorted(x.items())] for x in out]
-
-
-def _searcher(shared):
+            d, end = locate(text, chars[a:b].tobytes().decode("utf-32-le"))
+            if 100 * d <= self.percent * m:
+                start = max(a + end - m, int(bounds[doc]))
+                word = int(np.searchsorted(at, start, "right") - np.searchsorted(at, bounds[doc], "right"))
+                i = int(self.ids[item])
+                out[first + doc][i] = min(out[first + doc].get(i, (d, word)), (d, word))
+
+
+def _searcher(blocks: list):
+    """Looks for the items of each block in turn; of an item with texts in several the nearest counts."""
+
     @F.pandas_udf(MATCHES)
     def search(texts: pd.Series) -> pd.Series:
-        index = shared.value
-        hits = index.matches(pa.array(texts, pa.string(), from_pandas=True)) if index.items else [[] for _ in texts]
-        return pd.Series([[{"item_id": i, "distance": d, "first_word": p} for i, d, p in x] for x in hits])
+        column, best = pa.array(texts, pa.string(), from_pandas=True), [{} for _ in texts]
+        for shared in blocks:
+            for own, hits in zip(best, shared.value.matches(column), strict=True):
+                for i, d, p in hits:
+                    own[i] = min(own.get(i, (d, p)), (d, p))
+        return pd.Series([[{"item_id": i, "distance": d, "first_word": p} for i, (d, p) in sorted(own.items())] for own in best])
 
     return search
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, percent: int = 20, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
-    """Add ``matches``: the benchmark items that each text has, with their edit distance."""
+def _search(docs: DataFrame, benchmark: DataFrame, percent: int, text: str, item_id: str, item_text: str, block_bytes: int):
+    """The column of matches."""
     spark = docs.sparkSession
     bounded_batches(spark)
     items = benchmark.filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).distinct()
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
-    found = None
+    found = []
     for k in range(blocks):
         block = sorted((r["i"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).toLocalIterator())
-        matches = _searcher(spark.sparkContext.broadcast(ItemIndex(block, percent)))(F.col(text))
-        found = matches if found is None else F.concat(found, matches)
-    return docs.withColumn("matches", found)
+        found.append(spark.sparkContext.broadcast(ItemIndex(block, percent)))
+    return _searcher(found)(F.col(text))
+
+
+def with_matches(docs: DataFrame, benchmark: DataFrame, percent: int = 20, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
+    """Add ``matches``: the benchmark items that each text has, with their edit distance and the word where they begin."""
+    found = _search(docs, benchmark, percent, text, item_id, item_text, block_bytes)
+    return without(docs, "matches").withColumn("matches", found)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 20, **names) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 20, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
     """Documents that have no benchmark item."""
-    return with_matches(docs, benchmark, percent, **names).filter(F.size("matches") == 0).drop("matches")
+    found = _search(docs, benchmark, percent, text, item_id, item_text, block_bytes)
+    return docs.withColumn("_matches", found).filter(F.size("_matches") == 0).drop("_matches")

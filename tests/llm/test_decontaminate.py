@@ -55,6 +55,41 @@ def test_recall_of_edited_passages(items):
     assert np.mean([i in f for f, (i, near) in zip(found, want, strict=True) if near]) > 0.98
 
 
+def edited(r, text, rate, kinds):
+    out = []
+    for c in text:
+        kind = r.choice(kinds) if r.random() < rate else ""
+        out.append({"": c, "replace": r.choice("abcdefghijklmnopqrstuvwxyz "), "insert": c + r.choice("abcdefghij"), "delete": ""}[kind])
+    return "".join(out)
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.10, 0.15, 0.20])
+@pytest.mark.parametrize("kinds", [("replace",), ("replace", "insert", "delete")])
+def test_recall_of_edited_characters(rate, kinds):
+    """Against the exact distance of every item to every whole text, that is over all windows."""
+    r = random.Random(int(rate * 100))
+    prose = lambda n: " ".join("".join(r.choice("aeiouslnrtdm") for _ in range(r.choice([2, 3, 4, 5, 7, 9]))) for _ in range(n))
+    items = [(k, prose(r.choice([15, 20, 38, 56]))) for k in range(40)]
+    texts = [" ".join(f"{prose(40)} {edited(r, items[k % 40][1], rate, kinds)} {prose(40)}".split()) for k in range(160)]
+    truth = {(k, i): d for k, t in enumerate(texts) for i, x in items[k % 40 : k % 40 + 2] if 100 * (d := distance(x, t)) <= 20 * len(x)}
+    got = {(k, i): d for k, found in enumerate(ItemIndex(items, 20).matches(pa.array(texts))) for i, d, _ in found}
+    assert len(truth) > 30
+    assert np.mean([pair in got for pair in truth]) >= 0.9
+    assert all(d >= truth[pair] for pair, d in got.items() if pair in truth)
+    assert all(100 * d <= 20 * len(items[i][1]) for (_, i), d in got.items())
+
+
+def test_where_a_passage_begins_and_blocks(spark):
+    """One row for each item, the same whatever the blocks; an item's nearest text counts."""
+    text = "one two three " + " ".join(WORDS) + " end"
+    bench = spark.createDataFrame([(1, " ".join(WORDS)), (1, " ".join(WORDS[:-1]) + " omexa"), (1, " ".join(reversed(WORDS))), (2, " ".join(WORDS[4:20]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text), (1, text), (2, None), (3, "")], "doc_id long, Text string")
+    for size in (1 << 20, 50):
+        rows = sorted((x["doc_id"], [tuple(m) for m in x["matches"]]) for x in with_matches(docs, bench, block_bytes=size).collect())
+        assert rows == [(1, [(1, 0, 3), (2, 0, 7)])] * 2 + [(2, []), (3, [])]
+    assert "matches" in decontaminate(docs.withColumn("matches", docs["doc_id"]), bench).columns
+
+
 def test_exact_passages_and_clean_texts(spark, items, odd):
     r = random.Random(3)
     rows = [(k, f"{word(r)}, {word(r)} {t.upper()}! {word(r)}") for k, t in items] + [(1000 + k, " ".join(word(r) for _ in range(200))) for k in range(50)]
