@@ -5,7 +5,7 @@ characters: at each step it writes the one under its pointer, and a random bit o
 pointer moves on, so that texts of small edit distance come to agree in most of the places written.  A repeat has a walk
 of its own and samples some of its places.  Walks begin at each word of an item and of a text; a sample that agrees
 places the whole item there, as a window of the item's size with room for the edits.  A window must be met from two words
-of an item that has 8 and more to begin at, from three words if it has 24 (``MANY``); with ``REPEATS`` walks at each word,
+of an item that has 8 and more to begin at, and from one more for each 8 beyond (``MANY``); with ``REPEATS`` walks at each word,
 items of 15 words and more are met with a probability of over 0.9 even where a fifth of their characters are edited
 (tests measure it against exact distances); shorter ones have fewer places to begin.
 
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from shardflow.llm.common import _LOWER, _RUN_CLASS, bounded_batches, mix, texts_of, without
 
 #: Walks, their steps, the places sampled and those of them that a table of bits is asked for first.
-REPEATS, STEPS, SAMPLES, EARLY = 6, 24, 16, 8
-#: Items with so many words to begin at must be met from two of them, or from three.
-MANY = (8, 24)
+REPEATS, STEPS, SAMPLES, EARLY = 6, 24, 16, 6
+#: Items with so many words to begin at must be met from two of them, from three, and so on.
+MANY = (8, 16, 24, 32, 40, 48)
 TABLE_BITS, GRAM_BITS = 22, 13
 MATCHES = "array<struct<item_id:bigint,distance:int,first_word:int>>"
 
@@ -172,7 +172,7 @@ class ItemIndex:
         return early, mix(key), which
 
     def _met(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Rows (item, begin) of windows of the text: begin is a number of rooms of that item."""
+        """Rows (item, first, last) of windows of the text: where the item seems to begin, at the earliest and the latest."""
         items, begins, walks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for (s, r), (known, keys, ends, item, inside) in self.tables.items():
             _, key, which = self._walk(codes, at, s, r, known)
@@ -187,16 +187,22 @@ class ItemIndex:
         # how many words of a window meet the item; edits may move some to the next window
         key = (item << 34) + (begin // self.room[item] + 1)
         order = np.lexsort((walk, key))
-        key, walk = key[order], walk[order]
+        key, walk, begin = key[order], walk[order], begin[order]
+        if not len(key):
+            return np.zeros((3, 0), np.int64)
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (walk[1:] != walk[:-1])
-        windows, count = np.unique(key[new], return_counts=True)
-        if not len(windows):
-            return np.zeros((2, 0), np.int64)
-        after = np.minimum(np.searchsorted(windows, windows + 1), len(windows) - 1)
-        count = count + np.where(windows[after] == windows + 1, count[after], 0)
-        windows = windows[count >= self.need[windows >> 34]]
-        return np.stack([windows >> 34, (windows & ((1 << 34) - 1)) - 1])
+        windows, at = np.unique(key, return_index=True)
+        count = np.add.reduceat(new, at, dtype=np.int64)
+        first, last = np.minimum.reduceat(begin, at), np.maximum.reduceat(begin, at)
+        # a window and the next are one
+        two = np.append(windows[1:] == windows[:-1] + 1, False)
+        after = np.minimum(np.arange(len(windows)) + 1, len(windows) - 1)
+        enough = count + np.where(two, count[after], 0) >= self.need[windows >> 34]
+        last = np.where(two, last[after], last)
+        inner = np.append(False, two[:-1] & enough[:-1]) & ~two  # is in the window before it
+        some = np.flatnonzero(enough & ~inner)
+        return np.stack([windows[some] >> 34, first[some], last[some]])
 
     def matches(self, column: pa.Array) -> list[list[tuple[int, int, int]]]:
         """For each text (item_id, distance, first word) of the items it has."""
@@ -206,9 +212,8 @@ class ItemIndex:
             at = _words(chars)
             if not len(at):
                 continue
-            item, begin = self._met(_codes(chars), at)
-            room = self.room[item]
-            low, high = np.maximum((begin - 1) * room, 0), np.minimum((begin + 3) * room + self.size[item], len(chars))
+            item, begin, last = self._met(_codes(chars), at)
+            low, high = np.maximum(begin - self.room[item], 0), np.minimum(last + self.size[item] + self.room[item], len(chars))
             item, low, high = (x[low < high] for x in (item, low, high))
             grams = _grams(chars)
             for a in range(0, len(item), 4096):
