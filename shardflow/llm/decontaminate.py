@@ -5,7 +5,7 @@ characters: at each step it writes the one under its pointer, and a random bit o
 pointer moves on, so that texts of small edit distance come to agree in most of the places written.  A repeat has a walk
 of its own and samples some of its places.  Walks begin at each word of an item and of a text; a sample that agrees
 places the whole item there, as a window of the item's size with room for the edits.  A window must be met from two words
-of an item that has 8 and more to begin at, and from one more for each 8 beyond (``MANY``); with ``REPEATS`` walks at each word,
+of an item that has 8 and more to begin at, from three if it has 24, and so on (``MANY``); with ``REPEATS`` walks at each word,
 items of 15 words and more are met with a probability of over 0.9 even where a fifth of their characters are edited
 (tests measure it against exact distances); shorter ones have fewer places to begin.
 
@@ -32,7 +32,7 @@ from shardflow.llm.common import _LOWER, _RUN_CLASS, bounded_batches, mix, texts
 #: Walks, their steps, the places sampled and those of them that a table of bits is asked for first.
 REPEATS, STEPS, SAMPLES, EARLY = 6, 24, 16, 6
 #: Items with so many words to begin at must be met from two of them, from three, and so on.
-MANY = (8, 16, 24, 32, 40, 48)
+MANY = (8, 24, 34, 44)
 TABLE_BITS, GRAM_BITS = 22, 13
 MATCHES = "array<struct<item_id:bigint,distance:int,first_word:int>>"
 
