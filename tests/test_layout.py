@@ -22,8 +22,6 @@ def test_tile_index(spark):
     assert full[0] == ((0, 0),) and full[1] == ((0, 1),) and full[5] == ((1, 2),)
     permuted = rows(layout_table(spark, Sharding.of("8/2@2, 9/3@0, 1/4@1")), "shard", "idx")
     golden = {0: (0, 0, 0), 1: (1, 0, 0), 2: (0, 0, 1), 3: (1, 0, 1), 4: (0, 0, 2), 5: (1, 0, 2), 11: (1, 1, 1), 12: (0, 1, 2)}
-    # shard 12 is the first of the second piece of the slowest place
-    del golden[12]
     assert all(permuted[k][0] == (v[0], v[1], v[2]) for k, v in golden.items())
 
 
@@ -31,7 +29,7 @@ def test_tile_bounds(spark):
     full = rows(layout_table(spark, Sharding.of("8/2@0, 9/3@1")), "shard", "lo", "hi")
     assert full[0] == ((0, 0), (3, 2)) and full[1] == ((0, 3), (3, 5)) and full[5] == ((4, 6), (7, 8))
     partial = rows(layout_table(spark, Sharding.of("8/2@0, 1/4@1, 9/3@2")), "shard", "lo", "hi")
-    assert partial[0] == ((0, 0), (3, 2)) and partial[4] == ((0, 3), (3, 5)) or partial[4] == ((0, 3), (3, 5))
+    assert partial[0] == ((0, 0), (3, 2)) and partial[4] == ((0, 3), (3, 5)) and partial[20] == ((4, 6), (7, 8))
     permuted = rows(layout_table(spark, Sharding.of("8/2@2, 1/4@0, 9/3@1")), "shard", "lo", "hi")
     assert permuted[0] == ((0, 0), (3, 2)) and permuted[4] == ((0, 6), (3, 8)) and permuted[15] == ((4, 3), (7, 5))
     copies = rows(layout_table(spark, Sharding.of("1/4@0, 8/1@1, 6/1@2")), "shard", "lo", "hi")
