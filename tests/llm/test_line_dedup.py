@@ -1,4 +1,3 @@
-import hashlib
 import random
 from collections import Counter
 
@@ -71,5 +70,5 @@ def test_odd_rows(spark, odd):
     assert len(rows) == odd.count()
     assert [r["n_dropped"] for r in rows if r["doc_id"] == 4] == [1, 1]
     assert [(r["n_lines"], r["n_dropped"], r["text"]) for r in rows if r["doc_id"] in (6, 7)] == [(1, 1, "")] * 2
-    assert [r["n_lines"] for r in rows if r["doc_id"] in (1, 2)] == [1, 1] and hashlib.sha256(b"").hexdigest()
+    assert [r["n_lines"] for r in rows if r["doc_id"] in (1, 2)] == [1, 1]
     assert dedup_lines(odd.limit(0)).count() == 0
