@@ -3,6 +3,9 @@
 Every whole text is measured.  KLL quantile sketches of each measure are made for each (language, source) and
 merged to sketches for each language and for all rows; a group's thresholds are fences around its quartiles,
 taken from its own sketch if it has ``min_group`` rows, else from its language's, else from that of all rows.
+Most texts have no symbols or repeats at all, so that quartiles of such shares are 0 and say nothing of how far a
+group's texts differ; their rules look at log((count + c) / (size + 2 c)) with a small constant c, whose quartiles
+are apart wherever lengths differ.
 The rows are joined with their group's fences and those outside any of them are rejected.  Sketches merge in
 partial aggregates, so a source with a third of all rows costs one sketch a task; the thresholds are one row a
 group and reach the rows by a join on (language, source) whose large groups Spark can split.
@@ -22,12 +25,13 @@ from shardflow.llm.common import stored
 
 _WHITE = r"[\x20\x09-\x0D]+"
 _MARKS = "#*$%&|<>"
-#: Ratios whose fences decide: the least quartile distance that a fence is built on, and whether low values count.
-RATIOS = {
-    "word_length": {"spread": 1.0, "low": True},
-    "symbol_ratio": {"spread": 0.03, "low": False},
-    "dup_line_ratio": {"spread": 0.2, "low": False},
-    "repeat_ratio": {"spread": 0.1, "low": False},
+#: Rules whose fences decide: whether low values count, what is added to a count before the logarithm (lines are few,
+#: so less), and the quartile distance that is taken where a group's texts don't differ.
+RULES = {
+    "word_length": {"low": True, "guard": 0.1},
+    "symbols": {"low": False, "added": 0.5, "guard": 0.25},
+    "dup_lines": {"low": False, "added": 0.1, "guard": 0.25},
+    "repeats": {"low": False, "added": 0.5, "guard": 0.25},
 }
 
 
@@ -61,29 +65,29 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.select(*kept, F.inline(F.array(measures)))
 
 
-def _ratios() -> dict[str, Column]:
-    words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
-    return {
-        "word_length": F.col("word_chars") / words,
-        "symbol_ratio": F.col("n_symbols") / chars,
-        "dup_line_ratio": F.col("n_dup_lines") / F.greatest("_n_lines", F.lit(1)),
-        "repeat_ratio": F.col("n_repeat_words") / words,
-    }
+def _values() -> dict[str, Column]:
+    """What each rule of ``RULES`` looks at."""
+    parts = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "_n_lines"), "repeats": ("n_repeat_words", "n_words")}
+    out = {"word_length": F.col("word_chars") / F.greatest("n_words", F.lit(1))}
+    for rule, (count, size) in parts.items():
+        added = RULES[rule]["added"]
+        out[rule] = F.log((F.col(count) + F.lit(added)) / (F.col(size) + F.lit(2 * added)))
+    return out
 
 
 def thresholds(measured: DataFrame, lang: str, source: str, min_group: int, width: float, k: int) -> DataFrame:
-    """A row for each (lang, source) with the fences of each ratio, from mergeable sketches."""
-    sketches = [F.kll_sketch_agg_double(F.col(r), F.lit(k)).alias(r) for r in RATIOS]
+    """A row for each (lang, source) with the fences of each rule, from mergeable sketches."""
+    sketches = [F.kll_sketch_agg_double(F.col(r), F.lit(k)).alias(r) for r in RULES]
     by_source = measured.groupBy(F.col(lang).alias("_lang"), F.col(source).alias("_source")).agg(F.count("*").alias("n"), *sketches)
 
     def merged(df: DataFrame, *keys: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(r, F.lit(k)).alias(r) for r in RATIOS])
+        return df.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(r, F.lit(k)).alias(r) for r in RULES])
 
     def fences(df: DataFrame, prefix: str) -> DataFrame:
         out = [F.col("n").alias(f"{prefix}n")]
-        for r, rule in RATIOS.items():
+        for r, rule in RULES.items():
             quarter = [F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(r, F.lit(q))) for q in (0.25, 0.75)]  # no rows, no sketch
-            room = width * F.greatest(quarter[1] - quarter[0], F.lit(rule["spread"]))
+            room = width * F.greatest(quarter[1] - quarter[0], F.lit(rule["guard"]))
             out += [(quarter[1] + room).alias(f"{prefix}{r}_high")] + ([(quarter[0] - room).alias(f"{prefix}{r}_low")] if rule["low"] else [])
         return df.select(*[c for c in ("_lang", "_source") if c in df.columns], *out)
 
@@ -107,13 +111,13 @@ def filter_quality(
     """
     measured = measure(docs, text) if keep_text else stored(measure(docs, text).drop(text), "quality-measures")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    measured = measured.withColumns({"base_failed": failed, **{f"_{r}": c for r, c in _ratios().items()}})
-    limits = thresholds(measured.filter(~F.col("base_failed")).withColumns({r: F.col(f"_{r}") for r in RATIOS}), lang, source, min_group, width, k)
+    measured = measured.withColumns({"base_failed": failed, **{f"_{r}": c for r, c in _values().items()}})
+    limits = thresholds(measured.filter(~F.col("base_failed")).withColumns({r: F.col(f"_{r}") for r in RULES}), lang, source, min_group, width, k)
     inside = F.lit(True)
-    for r, rule in RATIOS.items():
+    for r, rule in RULES.items():
         inside &= F.col(f"_{r}") <= F.coalesce(F.col(f"_{r}_high"), F.lit(float("inf")))
         if rule["low"]:
             inside &= F.col(f"_{r}") >= F.coalesce(F.col(f"_{r}_low"), F.lit(float("-inf")))
     joined = measured.join(limits, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
     joined = joined.withColumn("kept", ~F.col("base_failed") & inside)
-    return joined.drop("_n_lines", *[f"_{r}" for r in RATIOS], *limits.columns)
+    return joined.drop("_n_lines", *[f"_{r}" for r in RULES], *limits.columns)

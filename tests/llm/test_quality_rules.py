@@ -1,3 +1,5 @@
+import math
+import random
 import re
 from collections import Counter
 
@@ -44,6 +46,47 @@ def test_fences_follow_their_group(spark):
     assert all(kept[k] for k in range(60)) and all(kept[100 + k] for k in range(60)) and not kept[200]
 
 
+def quartiles(values):
+    v = sorted(values)
+    return v[math.ceil(len(v) * 0.25) - 1], v[math.ceil(len(v) * 0.75) - 1]
+
+
+def test_verdicts(spark):
+    """Every verdict against fences around the exact quartiles of each group, whose sketches hold all its rows."""
+    r = random.Random(5)
+    rows = []
+    for k in range(240):
+        source = "ab"[k % 2]
+        stem = 4 if source == "a" else 7
+        w = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(stem - 2, stem + 3))) + ("#" if r.random() < (0.01 if source == "a" else 0.3) else "") for _ in range(r.randrange(60, 200))]
+        if k % 30 == 1:
+            w = ["####"[: r.randrange(1, 5)] + x for x in w]
+        if k % 30 == 4:
+            w = [x * 4 for x in w]
+        if k % 30 == 8:
+            w = w[:50] + w[:30]
+        lines = [" ".join(w[i : i + 6]) for i in range(0, len(w), 6)]
+        if k % 30 == 13:
+            lines += lines[:1] * 8
+        rows.append((k, "\n".join(lines), "en", source))
+    value = {}
+    for k, t, _, _ in rows:
+        words, chars, symbols, dup, repeat = brute(t)
+        shares = [(symbols, chars, 0.5), (dup, t.count("\n") + 1, 0.1), (repeat, words, 0.5)]
+        value[k] = [chars / words, *[math.log((a + c) / (b + 2 * c)) for a, b, c in shares]]
+    want, decided = dict.fromkeys(value, True), set()
+    for group in (0, 1):
+        for j, guard in enumerate((0.1, 0.25, 0.25, 0.25)):
+            low, high = quartiles(value[k][j] for k in value if k % 2 == group)
+            room = 3 * max(high - low, guard)
+            for k in value:
+                if k % 2 == group and (value[k][j] > high + room or j == 0 and value[k][j] < low - room):
+                    want[k] = False
+                    decided.add(j)
+    got = {x["doc_id"]: x["kept"] for x in filter_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), max_repeat_percent=100, min_group=20).collect()}
+    assert got == want and decided == {0, 1, 2, 3}
+
+
 def test_no_python_in_the_plan(spark, odd):
     plan = filter_quality(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
