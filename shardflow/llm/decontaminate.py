@@ -34,6 +34,8 @@ REPEATS, STEPS, SAMPLES, EARLY = 6, 24, 16, 6
 #: Items with so many words to begin at must be met from two of them, from three, and so on.
 MANY = (8, 24, 34, 44)
 TABLE_BITS, GRAM_BITS = 22, 13
+#: Items of so many words of 64 characters are verified many at once.
+TOGETHER = 16
 MATCHES = "array<struct<item_id:bigint,distance:int,first_word:int>>"
 
 
@@ -104,6 +106,41 @@ def distance(item: str, window: str) -> int:
     return locate(item, window)[0]
 
 
+def locate_all(items: list[np.ndarray], which: np.ndarray, chars: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``locate`` of items[which[k]] in chars[low[k]:high[k]] for all k at once.  An item is a column of words of 64 bits,
+    of the same number for all items; words pass on whether the distance at their last row rises or falls."""
+    length = np.array([len(x) for x in items])
+    words, one, top = -(-int(length.max()) // 64), np.uint64(1), np.uint64(63)
+    owner, place = np.repeat(np.arange(len(items)), length), _spans(np.zeros(len(items), np.int64), length)
+    keys, row = np.unique(owner << 21 | np.concatenate(items), return_inverse=True)
+    masks = np.zeros((len(keys) + 1, words), np.uint64)  # where an item has a character; the last row is that of any other
+    np.bitwise_or.at(masks, (row, place >> 6), one << (place & 63).astype(np.uint64))
+    width, size = high - low, length[which]
+    steps = int(width.max())
+    key = which << 21 | chars[np.minimum(low + np.arange(steps)[:, None], len(chars) - 1)]
+    row = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    row[keys[row] != key] = len(keys)
+    bottom, none = ((size - 1) & 63).astype(np.uint64), np.zeros(len(which), np.uint64)
+    plus, minus = [~none for _ in range(words)], [none for _ in range(words)]
+    score, best, end = size.copy(), size.copy(), np.zeros(len(which), np.int64)
+    for t in range(steps):
+        masked, rises, falls = masks[row[t]], none, none
+        for j in range(words):
+            x, p = masked[:, j], plus[j]
+            either = x | minus[j]
+            x = x | falls
+            d = (((x & p) + p) ^ p) | x
+            up, down = minus[j] | ~(d | p), p & d
+            if j == words - 1:
+                score = score + (up >> bottom & one).astype(np.int64) - (down >> bottom & one).astype(np.int64)
+            shifted_up, shifted_down = up << one | rises, down << one | falls
+            rises, falls = up >> top, down >> top
+            plus[j], minus[j] = shifted_down | ~(either | shifted_up), shifted_up & either
+        better = (score < best) & (t < width)
+        best[better], end[better] = score[better], t + 1
+    return best, end
+
+
 class ItemIndex:
     """The samples of all repeats of a block of items."""
 
@@ -120,7 +157,7 @@ class ItemIndex:
                     parts.append(chars[at[k] : at[k + 1] - 1])
                     ids.append(items[first + k][0])
         self.ids, self.size = np.array(ids, np.int64), np.array([len(x) for x in parts], np.int64)
-        self.texts = [x.tobytes().decode("utf-32-le") for x in parts]
+        self.chars = parts
         self.room = self.size * percent // 100 + 2
         #: how many 4-character grams of an item any match has at least, and the grams of each item
         self.least = self.size - 3 - 4 * (self.size * percent // 100)
@@ -222,23 +259,40 @@ class ItemIndex:
                 g = grams[_spans(low[part], size)]
                 have = self.grams[np.repeat(item[part], size), g >> 3] << (g & 7).astype(np.uint8) & 128 > 0
                 count = np.add.reduceat(have, np.cumsum(size) - size, dtype=np.int64)
-                for k in (np.flatnonzero(count >= self.least[item[part]]) + a).tolist():
-                    self._verify(out, first, chars, bounds, at, int(item[k]), int(low[k]), int(high[k]))
+                some = np.flatnonzero(count >= self.least[item[part]]) + a
+                self._verify(out, first, chars, bounds, at, item[some], low[some], high[some])
         return [[(i, d, p) for i, (d, p) in sorted(x.items())] for x in out]
 
-    def _verify(self, out, first, chars, bounds, at, item: int, low: int, high: int) -> None:
-        """The item in the texts that the window reaches into."""
-        text, m = self.texts[item], int(self.size[item])
-        for doc in range(int(np.searchsorted(bounds, low, "right")) - 1, int(np.searchsorted(bounds, high, "left"))):
-            a, b = max(low, int(bounds[doc])), min(high, int(bounds[doc + 1]))
-            if 100 * (m - (b - a)) > self.percent * m:
+    def _nearest(self, chars: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``locate`` for many windows: together for items of as many words of bits, one by one for long items."""
+        best, end = self.size[item], np.zeros(len(item), np.int64)
+        words = -(-best // 64)
+        for n in np.unique(words).tolist():
+            same = np.flatnonzero(words == n)
+            if n > TOGETHER:
+                for k in same.tolist():
+                    best[k], end[k] = locate(self.chars[item[k]].tobytes().decode("utf-32-le"), chars[low[k] : high[k]].tobytes().decode("utf-32-le"))
                 continue
-            d, end = locate(text, chars[a:b].tobytes().decode("utf-32-le"))
-            if 100 * d <= self.percent * m:
-                start = max(a + end - m, int(bounds[doc]))
-                word = int(np.searchsorted(at, start, "right") - np.searchsorted(at, bounds[doc], "right"))
-                i = int(self.ids[item])
-                out[first + doc][i] = min(out[first + doc].get(i, (d, word)), (d, word))
+            for part in np.array_split(same, -(-len(same) * n // 4096)):
+                own, which = np.unique(item[part], return_inverse=True)
+                best[part], end[part] = locate_all([self.chars[i] for i in own], which, chars, low[part], high[part])
+        return best, end
+
+    def _verify(self, out, first, chars, bounds, at, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """The items in the texts that their windows reach into."""
+        begin = np.searchsorted(bounds, low, "right") - 1
+        texts = np.searchsorted(bounds, high, "left") - begin
+        doc, item = _spans(begin, texts), np.repeat(item, texts)
+        low, high = np.maximum(np.repeat(low, texts), bounds[doc]), np.minimum(np.repeat(high, texts), bounds[doc + 1])
+        room = (high > low) & (100 * (self.size[item] - (high - low)) <= self.percent * self.size[item])
+        doc, item, low, high = (x[room] for x in (doc, item, low, high))
+        distances, ends = self._nearest(chars, item, low, high)
+        for k in np.flatnonzero(100 * distances <= self.percent * self.size[item]).tolist():
+            text, d = int(doc[k]), int(distances[k])
+            start = max(int(low[k] + ends[k] - self.size[item[k]]), int(bounds[text]))
+            word = int(np.searchsorted(at, start, "right") - np.searchsorted(at, bounds[text], "right"))
+            own, i = out[first + text], int(self.ids[item[k]])
+            own[i] = min(own.get(i, (d, word)), (d, word))
 
 
 def _searcher(blocks: list):

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from shardflow.llm.decontaminate import ItemIndex, decontaminate, distance, with_matches
+from shardflow.llm.decontaminate import ItemIndex, decontaminate, distance, locate, locate_all, with_matches
 
 from .conftest import WORDS
 
@@ -27,6 +27,20 @@ def test_distance(item, window):
     assert distance(item, window) == slow_distance(item, window)
 
 
+def test_distances_of_many_windows():
+    """Items of one to some words of bits, windows of all lengths, some that begin with an item's characters."""
+    r = random.Random(9)
+    for words in (1, 2, 5):
+        items = ["".join(r.choice("abc é\U0001f600") for _ in range(r.randrange(64 * words - 63, 64 * words + 1))) for _ in range(12)] + ["a" * 64 * words]
+        text = "".join(r.choice("abcd é") + r.choice([x[: r.randrange(200)] for x in items]) for _ in range(40))
+        which = np.array([r.randrange(len(items)) for _ in range(300)])
+        low = np.array([r.randrange(len(text) - 1) for _ in which])
+        high = np.array([min(len(text), a + 1 + r.randrange(100 * words)) for a in low])
+        points = lambda x: np.frombuffer(x.encode("utf-32-le"), np.uint32)
+        best, end = locate_all([points(x) for x in items], which, points(text), low, high)
+        assert list(zip(best, end, strict=True)) == [locate(items[i], text[a:b]) for i, a, b in zip(which, low, high, strict=True)]
+
+
 def word(r):
     return r.choice(WORDS) + str(r.randrange(200))
 
