@@ -10,7 +10,8 @@ items of 15 words and more are met with a probability of over 0.9 even where a f
 (tests measure it against exact distances); shorter ones have fewer places to begin.
 
 A window that meets an item is compared by its 4-character grams first: an edit changes at most four, so a window with
-fewer of the item's than its length, less 3 and 4 for each edit allowed, can't match.  The others are verified by the exact
+fewer of the item's than its length, less 3 and 4 for each edit allowed, can't match; nor can one that has fewer of
+the item's own.  The others are verified by the exact
 edit distance in characters, with free ends in the window: at most ``percent`` of the item's length.
 
 Items are broadcast in blocks of about ``block_bytes`` of text, each of which sees every text.  Null and empty texts match
@@ -162,10 +163,12 @@ class ItemIndex:
         #: how many 4-character grams of an item any match has at least, and the grams of each item
         self.least = self.size - 3 - 4 * (self.size * percent // 100)
         self.grams = np.zeros((len(parts), (1 << GRAM_BITS) // 8), np.uint8)
-        for k, x in enumerate(parts):
+        own = [_grams(x) for x in parts]
+        for k, x in enumerate(own):
             g = np.zeros(1 << GRAM_BITS, bool)
-            g[_grams(x)] = True
+            g[x] = True
             self.grams[k] = np.packbits(g)
+        self.all_grams, self.begin = np.concatenate([*own, np.zeros(0, np.int32)]), np.cumsum(self.size) - self.size
         # walks begin at the words that have a walk's length behind them; items shorter than a walk have their own number of steps
         self.steps = sorted({min(STEPS, n) for n in self.size.tolist()})
         self.tables: dict = {}
@@ -194,7 +197,7 @@ class ItemIndex:
         sampled = [j for j in self.sampled[r].tolist() if j < steps] if steps == STEPS else range(steps)
         last = max(sampled)
         for j in range(last + 1):
-            c = codes[place]
+            c = codes.take(place)
             if j in sampled:
                 with np.errstate(over="ignore"):
                     key = key * np.uint64(0x9E3779B97F4A7C15) + c + np.uint64(1)
@@ -205,7 +208,7 @@ class ItemIndex:
                         stay = np.flatnonzero(known[early >> 3] << (early & 7).astype(np.uint8) & 128)
                         key, place, which, c = key[stay], place[stay], which[stay], c[stay]
             if j < last:
-                place = place + self.move[r, j][c]
+                place = place + self.move[r, j].take(c)
         return early, mix(key), which
 
     def _met(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -260,9 +263,23 @@ class ItemIndex:
                 have = self.grams[np.repeat(item[part], size), g >> 3] << (g & 7).astype(np.uint8) & 128 > 0
                 count = np.add.reduceat(have, np.cumsum(size) - size, dtype=np.int64)
                 some = np.flatnonzero(count >= self.least[item[part]]) + a
+                some = some[self._has_grams(grams, item[some], low[some], high[some])]
                 self._verify(out, first, chars, bounds, at, item[some], low[some], high[some])
         return [[(i, d, p) for i, (d, p) in sorted(x.items())] for x in out]
 
+    def _has_grams(self, grams: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether enough of the item's grams are in the window."""
+        out = np.zeros(len(item), bool)
+        for a in range(0, len(item), 512):
+            part = slice(a, a + 512)
+            own, size = item[part], (high - low)[part]
+            has = np.zeros((len(own), 1 << GRAM_BITS), bool)
+            has[np.repeat(np.arange(len(own)), size), grams[_spans(low[part], size)]] = True
+            n = np.maximum(self.size[own] - 3, 1)
+            found = has[np.repeat(np.arange(len(own)), n), self.all_grams[_spans(self.begin[own], n)]]
+            out[part] = np.add.reduceat(found, np.cumsum(n) - n, dtype=np.int64) >= self.least[own]
+        return out
+
     def _nearest(self, chars: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``locate`` for many windows: together for items of as many words of bits, one by one for long items."""
         best, end = self.size[item], np.zeros(len(item), np.int64)
