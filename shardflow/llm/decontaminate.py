@@ -188,7 +188,9 @@ class ItemIndex:
                 bits[early] = True
                 order = np.argsort(key, kind="stable")
                 keys, first = np.unique(key[order], return_index=True)
-                self.tables[s, r] = np.packbits(bits), keys, np.append(first, len(order)), own[item[order]], (at - begin[item])[order]
+                whole = np.zeros(1 << TABLE_BITS, bool)
+                whole[(keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+                self.tables[s, r] = np.packbits(bits), np.packbits(whole), keys, np.append(first, len(order)), own[item[order]], (at - begin[item])[order]
 
     def _walk(self, codes: np.ndarray, at: np.ndarray, steps: int, r: int, known: np.ndarray | None = None):
         """Of the walks that begin at ``at``: the early samples as a number, the keys of all samples, and which walks these are
@@ -214,8 +216,11 @@ class ItemIndex:
     def _met(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Rows (item, first, last) of windows of the text: where the item seems to begin, at the earliest and the latest."""
         items, begins, walks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for (s, r), (known, keys, ends, item, inside) in self.tables.items():
+        for (s, r), (known, whole, keys, ends, item, inside) in self.tables.items():
             _, key, which = self._walk(codes, at, s, r, known)
+            place = (key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+            few = np.flatnonzero(whole[place >> 3] << (place & 7).astype(np.uint8) & 128)
+            key, which = key[few], which[few]
             spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             hit = np.flatnonzero(keys[spot] == key)
             first, last = ends[spot[hit]], ends[spot[hit] + 1]
