@@ -96,9 +96,10 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, size: int =
     return out
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of all texts, and for each text the range of its words (n + 1 bounds)."""
-    word = ~_IS_WHITE[data]
+def spans_of(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the longest runs of bytes of a class (``inside``: a flag for each of 256) in all texts, and
+    for each text the range of its runs (n + 1 bounds)."""
+    word = inside[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty(len(data), bool)
@@ -111,6 +112,29 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.searchsorted(start, offsets)
 
 
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all texts, and for each text the range of its words (n + 1 bounds)."""
+    return spans_of(data, offsets, ~_IS_WHITE)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return _LOWER[data]
+
+
+def gathered(batches, column: int, size: int = 1 << 24):
+    """Tables of consecutive Arrow batches with about ``size`` bytes in a text column; a batch is never cut."""
+    held, total = [], 0
+    for b in batches:
+        held.append(b)
+        total += b.column(column).nbytes
+        if total >= size:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, total = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 _RUN_CLASS = np.full(256, 2, np.uint8)  # 0 white space, 1 letters and digits (all bytes of other scripts), 2 marks
 _RUN_CLASS[_IS_WHITE] = 0
 _RUN_CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1

@@ -12,6 +12,7 @@ from shardflow.llm.line_dedup import dedup_lines
 from shardflow.llm.ngram_join import near_duplicates
 from shardflow.llm.pieces import decode, encode, load_pieces
 from shardflow.llm.quality_rules import filter_quality
+from shardflow.llm.search import search
 from shardflow.llm.toxicity import score_toxicity
 from shardflow.llm.url_filter import Rule, filter_urls
 from shardflow.llm.warc import round_trip
@@ -169,5 +170,30 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
 """
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_pieces": op2_pieces, "op3_ngram_join": op3_ngram_join, "op4_quality_model": op4_quality_model, "op5_decontaminate": op5_decontaminate, "op6_language_id": op6_language_id, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc}
-ORACLE = {"op3_ngram_join": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for each benchmark item."""
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=50)
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM documents
+), c AS MATERIALIZED (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY doc_id, w),
+d AS MATERIALIZED (SELECT doc_id, sum(tf)::BIGINT AS n FROM c GROUP BY doc_id),
+a AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM d),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark
+), f AS (SELECT w, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM c, a GROUP BY w, docs),
+m AS (SELECT doc_id, 100 - 50 + ((50 * n * docs) // len) AS m FROM d, a),
+s AS (
+  SELECT q.item_id, c.doc_id, sum(f.weight * ((1000000000 * c.tf) // (1000 * c.tf + 20 * m.m)))::BIGINT AS score
+  FROM q JOIN c ON c.w = q.w JOIN f ON f.w = q.w JOIN m ON m.doc_id = c.doc_id GROUP BY q.item_id, c.doc_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+""".replace("\\\\", "\\")
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_pieces": op2_pieces, "op3_ngram_join": op3_ngram_join, "op4_quality_model": op4_quality_model, "op5_decontaminate": op5_decontaminate, "op6_language_id": op6_language_id, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc, "op12_search": op12_search}
+ORACLE = {"op3_ngram_join": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL, "op12_search": OP12_SQL}
