@@ -13,6 +13,7 @@ from shardflow.llm.ngram_join import near_duplicates
 from shardflow.llm.pieces import decode, encode, load_pieces
 from shardflow.llm.quality_rules import filter_quality
 from shardflow.llm.search import search
+from shardflow.llm.source_audit import audit_sources
 from shardflow.llm.toxicity import score_toxicity
 from shardflow.llm.url_filter import Rule, filter_urls
 from shardflow.llm.warc import round_trip
@@ -61,7 +62,7 @@ r AS (
   UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.d WHERE r.c < l.b
 )
 SELECT s.doc_id, len(g)::BIGINT AS n_shingles, (SELECT min(c) FROM r WHERE d = s.doc_id)::BIGINT AS component_id FROM s
-""".replace("\\\\", "\\")
+"""
 
 
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +109,7 @@ c AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_i
 SELECT k.doc_id, count(*)::BIGINT AS n_lines, count(c.key)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN c ON k.key = c.key GROUP BY k.doc_id
-""".replace("\\\\", "\\")
+"""
 
 
 URL_RULES = [
@@ -170,6 +171,37 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
 """
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source of each language against the language's other sources, and the terms it overuses."""
+    return audit_sources(read(spark, sf_dir, "documents").select("text", "lang", "source"), min_docs=10, k=10)
+
+
+OP11_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (
+  SELECT doc_id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM d
+), c AS MATERIALIZED (SELECT lang, source, w, count(*) AS n FROM t GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, w, count(*) AS total FROM t GROUP BY lang, w HAVING count(DISTINCT doc_id) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+x AS MATERIALIZED (SELECT g.lang, g.source, k.w, k.total, coalesce(c.n, 0) AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.w = k.w),
+z AS (SELECT lang, source, count(*) AS v, sum(n) AS big_n, sum(total) AS big_l FROM x GROUP BY lang, source),
+p AS MATERIALIZED (
+  SELECT x.lang, x.source, x.w, x.n, (1 + (1000000000::HUGEINT * (x.n + 2)) // (big_n + 2 * v))::BIGINT AS p,
+    (1 + (1000000000::HUGEINT * (x.total + 2)) // (big_l + 2 * v))::BIGINT AS q
+  FROM x JOIN z ON z.lang = x.lang AND z.source = x.source
+), s AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.w = b.w AND a.source <> b.source GROUP BY ALL
+), u AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', w, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q
+), r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM u)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents for each benchmark item."""
     return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=50)
@@ -192,8 +224,8 @@ s AS (
   FROM q JOIN c ON c.w = q.w JOIN f ON f.w = q.w JOIN m ON m.doc_id = c.doc_id GROUP BY q.item_id, c.doc_id
 ), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
-""".replace("\\\\", "\\")
+"""
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_pieces": op2_pieces, "op3_ngram_join": op3_ngram_join, "op4_quality_model": op4_quality_model, "op5_decontaminate": op5_decontaminate, "op6_language_id": op6_language_id, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc, "op12_search": op12_search}
-ORACLE = {"op3_ngram_join": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL, "op12_search": OP12_SQL}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_pieces": op2_pieces, "op3_ngram_join": op3_ngram_join, "op4_quality_model": op4_quality_model, "op5_decontaminate": op5_decontaminate, "op6_language_id": op6_language_id, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc, "op11_source_audit": op11_source_audit, "op12_search": op12_search}
+ORACLE = {"op3_ngram_join": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL, "op11_source_audit": OP11_SQL, "op12_search": OP12_SQL}
