@@ -41,6 +41,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(*tables: DataFrame) -> None:
+    """Remove tables that :func:`stored` wrote and that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of 64-bit hashes (splitmix)."""
     with np.errstate(over="ignore"):
@@ -96,6 +105,15 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, size: int =
     return out
 
 
+def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n bytes from each place on (texts not told apart)."""
+    p, q = powers(len(data) + 1)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * p[: len(data)], out=total[1:])
+        return mix((total[n:] - total[:-n]) * q[: max(0, len(data) - n + 1)])
+
+
 def spans_of(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the longest runs of bytes of a class (``inside``: a flag for each of 256) in all texts, and
     for each text the range of its runs (n + 1 bounds)."""

@@ -14,6 +14,7 @@ from shardflow.llm.pieces import decode, encode, load_pieces
 from shardflow.llm.quality_rules import filter_quality
 from shardflow.llm.search import search
 from shardflow.llm.source_audit import audit_sources
+from shardflow.llm.substring_dedup import dedup_passages
 from shardflow.llm.toxicity import score_toxicity
 from shardflow.llm.url_filter import Rule, filter_urls
 from shardflow.llm.warc import round_trip
@@ -227,5 +228,11 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
 """
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_pieces": op2_pieces, "op3_ngram_join": op3_ngram_join, "op4_quality_model": op4_quality_model, "op5_decontaminate": op5_decontaminate, "op6_language_id": op6_language_id, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc, "op11_source_audit": op11_source_audit, "op12_search": op12_search}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of passages of 400 bytes that are found elsewhere."""
+    cleaned = dedup_passages(read(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_pieces": op2_pieces, "op3_ngram_join": op3_ngram_join, "op4_quality_model": op4_quality_model, "op5_decontaminate": op5_decontaminate, "op6_language_id": op6_language_id, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_url_filter": op9_url_filter, "op10_warc": op10_warc, "op11_source_audit": op11_source_audit, "op12_search": op12_search, "op13_suffix_dedup": op13_suffix_dedup}
 ORACLE = {"op3_ngram_join": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL, "op11_source_audit": OP11_SQL, "op12_search": OP12_SQL}
