@@ -1,4 +1,4 @@
-"""The queries of the array library over the tables, each with the SQL that must give the same rows.
+"""Queries of arrays by cells, and how their SQL is made.
 
 The SQL is written from the layouts' definitions, by enumerating tiles and comparing ranges, and shares no
 formula with the library.
@@ -12,15 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardflow.flow import Store, View, across, defer
-from shardflow.functions import layout as fl
 from shardflow.layout import Sharding
 from shardflow.mesh import DeviceList
 from shardflow.operators import ShardedArray, reshard
 from shardflow.operators.array import ArrayCache
-from shardflow.plans.classify import classify
-from shardflow.plans.transfer import broadcast_tree, transfer_plan
 from shardflow.sources.arrays import from_digits, from_key, from_lists, table
-from shardflow.types import TYPES, type_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,102 +68,6 @@ def _joined_sql(names: list[str]) -> str:
     return " || ',' || ".join(f"{n}::VARCHAR" for n in names)
 
 
-def _box_sql(layout: Sharding) -> tuple[str, str]:
-    n = max(1, len(layout.real))
-    return _joined_sql([f"lo{k}" for k in range(n)]), _joined_sql([f"hi{k}" for k in range(n)])
-
-
-LAYOUTS = {
-    "full": Sharding.of("8/2@0, 9/3@1"),
-    "permuted": Sharding.of("8/2@2, 9/3@0, 1/4@1"),
-    "partial": Sharding.of("8/2@0, 1/4@1, 9/3@2"),
-    "partial_permuted": Sharding.of("8/2@2, 1/4@0, 9/3@1"),
-    "replicated": Sharding.of("1/4@0, 8/1@1, 6/1@2"),
-}
-
-
-def _layout_queries() -> None:
-    for name in ("full", "permuted"):
-        x = LAYOUTS[name]
-        _query(f"tile_index_{name}", f"SELECT shard::BIGINT AS shard, {_joined_sql([f'd{k}' for k in range(len(x.dims))])} AS idx FROM {_tiles_sql(x)}")(
-            lambda spark, _, x=x: fl.layout_table(spark, x).select("shard", _list("idx").alias("idx"))
-        )
-    for name in ("full", "partial", "partial_permuted", "replicated"):
-        x = LAYOUTS[name]
-        lo, hi = _box_sql(x)
-        _query(f"tile_bounds_{name}", f"SELECT shard::BIGINT AS shard, {lo} AS lo, {hi} AS hi FROM {_tiles_sql(x)}")(
-            lambda spark, _, x=x: fl.layout_table(spark, x).select("shard", _list("lo").alias("lo"), _list("hi").alias("hi"))
-        )
-
-
-_layout_queries()
-
-
-@_query("tile_shard_inverse", f"SELECT shard::BIGINT AS shard, shard::BIGINT AS again FROM {_tiles_sql(LAYOUTS['permuted'])}")
-def tile_shard_inverse(spark: SparkSession, _: str) -> DataFrame:
-    x = LAYOUTS["permuted"]
-    return fl.layout_table(spark, x).select("shard", fl.tile_shard(x, [F.col("idx")[k] for k in range(len(x.dims))]).alias("again"))
-
-
-@_query("tile_shard_linear", f"SELECT shard::BIGINT AS shard, ((d0 * 3 + d1) * 4 + d2)::BIGINT AS linear FROM {_tiles_sql(LAYOUTS['permuted'])}")
-def tile_shard_linear(spark: SparkSession, _: str) -> DataFrame:
-    x = LAYOUTS["permuted"]
-    return fl.layout_table(spark, x).select("shard", fl.tile_shard_linear(x, [F.col("idx")[k] for k in range(3)]).alias("linear"))
-
-
-@_query("tile_volume", f"SELECT shard::BIGINT AS shard, ((hi0 - lo0 + 1) * (hi1 - lo1 + 1))::BIGINT AS cells FROM {_tiles_sql(LAYOUTS['partial'])}")
-def tile_volume(spark: SparkSession, _: str) -> DataFrame:
-    return fl.layout_table(spark, LAYOUTS["partial"]).select("shard", "cells")
-
-
-@_query("slice_dim", "SELECT n::BIGINT AS n, (16 + n * 8)::BIGINT AS lo, (16 + n * 8 + 7)::BIGINT AS hi FROM range(4) t(n)")
-def slice_dim(spark: SparkSession, _: str) -> DataFrame:
-    lo, hi = fl.slice_bounds(F.lit(16).cast("long"), F.lit(47).cast("long"), 4, F.col("id"))
-    return spark.range(4).select(F.col("id").alias("n"), lo.alias("lo"), hi.alias("hi"))
-
-
-_PREDICATES = """SELECT * FROM (VALUES
- ('full', 6, 2, 12, 72, false, true, false), ('permuted', 6, 2, 12, 72, true, false, false), ('partial', 6, 2, 12, 72, true, false, false),
- ('partial_permuted', 6, 2, 12, 72, true, false, false), ('replicated', 1, 2, 48, 48, false, false, true)
-) t(name, total_sharding, real_dims, local_elements, all_elements, partial, fully, replicated)"""
-
-
-@_query("sharding_predicates", _PREDICATES)
-def sharding_predicates(spark: SparkSession, _: str) -> DataFrame:
-    rows = [(n, x.total_sharding, x.num_real_dims, x.num_local_elements, x.full_dimension_product, x.partially_replicated, x.fully_sharded, x.replicated) for n, x in LAYOUTS.items()]
-    return spark.createDataFrame(rows, "name string, total_sharding int, real_dims int, local_elements int, all_elements int, partial boolean, fully boolean, replicated boolean")
-
-
-@_query(
-    "dtype_sizes",
-    """SELECT * FROM (VALUES ('PRED', 1), ('S8', 1), ('U8', 1), ('S16', 2), ('U16', 2), ('F16', 2), ('BF16', 2), ('S32', 4), ('U32', 4), ('F32', 4),
- ('S64', 8), ('U64', 8), ('F64', 8), ('C64', 8), ('C128', 16)) t(dtype, bytes)""",
-)
-def dtype_sizes(spark: SparkSession, _: str) -> DataFrame:
-    return type_table(spark).select("dtype", "bytes")
-
-
-@_query("shard_bytes", "SELECT dtype, (12 * bytes)::BIGINT AS shard_bytes FROM (VALUES ('S8', 1), ('F32', 4), ('F64', 8), ('C128', 16)) t(dtype, bytes)")
-def shard_bytes(spark: SparkSession, _: str) -> DataFrame:
-    return spark.createDataFrame([(t, LAYOUTS["full"].shard_bytes(t)) for t in ("S8", "F32", "F64", "C128")], "dtype string, shard_bytes long")
-
-
-@_query("device_list_contains", "SELECT d::BIGINT AS device, d >= 4 AND d < 12 AS inside FROM range(16) t(d)")
-def device_list_contains(spark: SparkSession, _: str) -> DataFrame:
-    return spark.range(16).select(F.col("id").alias("device"), DeviceList(4, 8).contains_column(F.col("id")).alias("inside"))
-
-
-@_query("device_list_slice", "SELECT (6 + k)::BIGINT AS device FROM range(3) t(k)")
-def device_list_slice(spark: SparkSession, _: str) -> DataFrame:
-    part = DeviceList(4, 8).slice(2, 3)
-    return spark.range(part.start, part.stop).select(F.col("id").alias("device"))
-
-
-@_query("device_shard_id", "SELECT d::BIGINT AS device, CASE WHEN d BETWEEN 4 AND 11 THEN d - 4 END::BIGINT AS shard FROM range(16) t(d)")
-def device_shard_id(spark: SparkSession, _: str) -> DataFrame:
-    return spark.range(16).select(F.col("id").alias("device"), DeviceList(4, 8).shard_column(F.col("id")).alias("shard"))
-
-
 # arrays of the tables
 
 def _layout(spark: SparkSession, d: str, text: str, start: int = 0) -> Sharding:
@@ -246,11 +146,6 @@ def tile_stats(spark: SparkSession, d: str) -> DataFrame:
     return _cube(spark, d, E3).sharded().groupBy("shard").agg(F.count("*").alias("cells"), F.sum("v").alias("v_sum"))
 
 
-@_query("tile_values", "SELECT i0 // (n // 4) AS shard, min(i0)::VARCHAR AS lo, max(i0)::VARCHAR AS hi, string_agg(v::VARCHAR, ',' ORDER BY i0) AS vals FROM " + _EVENTS_SQL + f", (SELECT {_SIZES['N']} AS n) GROUP BY 1")
-def tile_values(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d, E1).to_tiles().select("shard", _list("lo").alias("lo"), _list("hi").alias("hi"), _list("vals").alias("vals"))
-
-
 @_query("tile_fill", _shards_sql("(SELECT i0, i0 * 3 + 1 AS v FROM " + _EVENTS_SQL + ")", E1, _SUMS))
 def tile_fill(spark: SparkSession, d: str) -> DataFrame:
     return _sums(_events(spark, d, E1).fill(lambda i: i * 3 + 1))
@@ -274,12 +169,6 @@ def tile_check(spark: SparkSession, d: str) -> DataFrame:
     return _cube(spark, d, E3).fill(expected).mismatches(expected)
 
 
-@_query("scalar_array", "SELECT s::BIGINT AS shard, 1::BIGINT AS cells, 42::BIGINT AS v FROM range(4) t(s)")
-def scalar_array(spark: SparkSession, _: str) -> DataFrame:
-    one = ShardedArray.create(spark.range(1).select(F.lit(0).alias("i"), F.lit(42).alias("v")), Sharding.of("1/1@0, 1/4@1"), "S64")
-    return one.sharded().groupBy("shard").agg(F.count("*").alias("cells"), F.max("v").alias("v"))
-
-
 @_query("move_to_memory_identity", _shards_sql(_EVENTS_SQL, E1, _SUMS))
 def move_to_memory_identity(spark: SparkSession, d: str) -> DataFrame:
     return _sums(_events(spark, d, E1).move_to_memory())
@@ -305,127 +194,6 @@ def rejects_uneven(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(problem,)], "problem string")
 
 
-# classes of moves and tables of transfers
-
-MOVES: dict[str, tuple[Sharding, Sharding, str]] = {
-    "same layout, other devices": (Sharding.of("16/4@0,16/2@1"), Sharding.of("16/4@0,16/2@1", 8), "point_to_point"),
-    "split one dimension": (Sharding.of("16/2@0,16/2@1"), Sharding.of("16/2@0,16/4@1", 4), "scatter_gather"),
-    "partial to replicated 2d": (Sharding.of("16/2@0,1/2@1"), Sharding.of("16/1@0,1/8@1"), "partial_to_replicated"),
-    "partial to replicated 1d": (Sharding.of("16/2@0,1/2@1"), Sharding.of("16/1@0", 0, 4), "partial_to_replicated"),
-    "partial to replicated 3d": (Sharding.of("8/2@0,128/1@1,256/2@2,1/2@3"), Sharding.of("8/1@0,128/1@1,256/1@2", 0, 4), "partial_to_replicated"),
-    "increase 3d": (Sharding.of("8/2@0,128/1@1,256/2@2"), Sharding.of("8/4@0,128/1@1,256/2@2"), "scatter_gather"),
-    "decrease 3d": (Sharding.of("8/4@0,128/1@1,256/2@2"), Sharding.of("8/2@0,128/1@1,256/2@2"), "scatter_gather"),
-    "replicas change": (Sharding.of("8/4@0,128/1@1,1/1@2,1/2@3"), Sharding.of("8/2@0,128/1@1,1/1@2,1/2@3"), "scatter_gather"),
-    "gather to one": (Sharding.of("8/8@0,2048/1@1"), Sharding.of("8/1@0,2048/1@1", 0, 8), "gather"),
-    "scatter": (Sharding.of("8/1@0,1/4@1"), Sharding.of("8/8@0", 4), "scatter"),
-    "gather": (Sharding.of("2/2@0"), Sharding.of("2/1@0,1/2@1", 2), "gather"),
-    "replicas to more": (Sharding.of("8/1@0,1/2@1"), Sharding.of("8/1@0,1/8@1"), "broadcast"),
-    "replicas to fewer": (Sharding.of("8/1@0,1/4@1"), Sharding.of("8/1@0,1/2@1"), "point_to_point"),
-    "two dimensions differ": (Sharding.of("16/4@0,16/2@1"), Sharding.of("16/2@0,16/4@1"), "unsupported"),
-    "other rank": (Sharding.of("16/2@0,1/2@1"), Sharding.of("16/4@0"), "unsupported"),
-    "nothing divides": (Sharding.of("6/2@0,1/4@1"), Sharding.of("6/1@0,1/8@1"), "unsupported"),
-}
-
-
-@_query("classify_matrix", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{m}')" for k, (_, _, m) in MOVES.items()) + ") t(name, move)")
-def classify_matrix(spark: SparkSession, _: str) -> DataFrame:
-    return spark.createDataFrame([(k, classify(a, b).value) for k, (a, b, _) in MOVES.items()], "name string, move string")
-
-
-def _plan_text(df: DataFrame) -> DataFrame:
-    return df.select("src_shard", "dst_shard", _list("lo").alias("lo"), _list("hi").alias("hi"), "cells", "bytes")
-
-
-def _sql_plan(src: Sharding, dst: Sharding, on: str, box: str = "b", more: str = "") -> str:
-    """Transfers between tiles a and b of two layouts."""
-    n = max(1, len(src.real))
-    low = [f"greatest(a.lo{k}, b.lo{k})" if box == "both" else f"{box}.lo{k}" for k in range(n)]
-    high = [f"least(a.hi{k}, b.hi{k})" if box == "both" else f"{box}.hi{k}" for k in range(n)]
-    cells = " * ".join(f"({h} - {x} + 1)" for x, h in zip(low, high, strict=True))
-    return f"""SELECT a.shard::BIGINT AS src_shard, b.shard::BIGINT AS dst_shard, {_joined_sql(low)} AS lo, {_joined_sql(high)} AS hi,
- ({cells})::BIGINT AS cells, ({cells} * 4)::BIGINT AS bytes FROM {_tiles_sql(src)} a JOIN {_tiles_sql(dst)} b ON {on} {more}"""
-
-
-def _overlap_sql(src: Sharding) -> str:
-    return " AND ".join(f"a.lo{k} <= b.hi{k} AND b.lo{k} <= a.hi{k}" for k in range(max(1, len(src.real))))
-
-
-def _plan_queries() -> None:
-    def add(name: str, move: str, sql: Callable[[Sharding, Sharding], str]) -> None:
-        a, b, _ = MOVES[move]
-        _query(name, sql(a, b))(lambda spark, _, a=a, b=b: _plan_text(transfer_plan(spark, a, b)))
-
-    add("plan_p2p", "same layout, other devices", lambda a, b: _sql_plan(a, b, "a.shard = b.shard"))
-    add("plan_sg_increase", "increase 3d", lambda a, b: _sql_plan(a, b, _overlap_sql(a), "both"))
-    add("plan_sg_decrease", "decrease 3d", lambda a, b: _sql_plan(a, b, _overlap_sql(a), "both"))
-    add("plan_sg_1d", "split one dimension", lambda a, b: _sql_plan(a, b, _overlap_sql(a), "both"))
-    add("plan_gather", "gather", lambda a, b: _sql_plan(a, b, "true", "a"))
-    add("plan_scatter", "scatter", lambda a, b: _sql_plan(a, b, "a.shard = b.shard // 2"))
-    add("plan_any", "two dimensions differ", lambda a, b: _sql_plan(a, b, _overlap_sql(a), "both"))
-
-
-_plan_queries()
-_PARTIAL = MOVES["partial to replicated 1d"]
-
-
-@_query(
-    "plan_partial_to_replicated",
-    """SELECT s::BIGINT AS src_shard, d::BIGINT AS dst_shard, (4 * s)::VARCHAR AS lo, (4 * s + 3)::VARCHAR AS hi, 4::BIGINT AS cells, 16::BIGINT AS bytes
- FROM range(4) a(s), range(1) b(d)""",
-)
-def plan_partial_to_replicated(spark: SparkSession, _: str) -> DataFrame:
-    return _plan_text(transfer_plan(spark, _PARTIAL[0], _PARTIAL[1]))
-
-
-def _tree(n_src: int, n_dst: int) -> Query:
-    return lambda spark, _: broadcast_tree(spark, n_src, n_dst).select("dst_shard", "src_shard", "from_dst", _list("leaves").alias("leaves"))
-
-
-_query(
-    "plan_broadcast_pow2",
-    """SELECT dst_shard::BIGINT AS dst_shard, src_shard::BIGINT AS src_shard, from_dst::BIGINT AS from_dst, leaves FROM (VALUES
- (0, 0, NULL, '2,1'), (1, NULL, 0, ''), (2, NULL, 0, '3'), (3, NULL, 2, ''), (4, 1, NULL, '6,5'), (5, NULL, 4, ''), (6, NULL, 4, '7'), (7, NULL, 6, '')
- ) t(dst_shard, src_shard, from_dst, leaves)""",
-)(_tree(2, 8))
-_query(
-    "plan_broadcast_uneven",
-    """SELECT dst_shard::BIGINT AS dst_shard, src_shard::BIGINT AS src_shard, from_dst::BIGINT AS from_dst, leaves FROM (VALUES
- (0, 0, NULL, '2,1'), (1, NULL, 0, ''), (2, NULL, 0, ''), (3, 1, NULL, '5,4'), (4, NULL, 3, ''), (5, NULL, 3, ''), (6, 2, NULL, '')
- ) t(dst_shard, src_shard, from_dst, leaves)""",
-)(_tree(3, 7))
-
-
-@_query(
-    "plan_broadcast_reach",
-    """WITH RECURSIVE p AS (SELECT n, r, r & (r - 1) AS up FROM (VALUES (6), (10), (11), (12), (14)) g(n), range(14) t(r) WHERE r < n),
- w AS (SELECT n, r, 0 AS depth FROM p WHERE r = 0 UNION ALL SELECT p.n, p.r, depth + 1 FROM w JOIN p ON p.n = w.n AND p.up = w.r AND p.r > 0)
- SELECT n::BIGINT AS n, count(*)::BIGINT AS reached FROM w GROUP BY n""",
-)
-def plan_broadcast_reach(spark: SparkSession, _: str) -> DataFrame:
-    """How many ranks a tree reaches: every one, also for sizes that are no power of two."""
-    out = None
-    for n in (6, 10, 11, 12, 14):
-        tree = broadcast_tree(spark, 1, n).select(F.col("dst_shard").alias("r"), "from_dst")
-        reached = tree.filter("from_dst IS NULL").select("r")
-        for _k in range(n.bit_length()):
-            reached = reached.union(tree.join(reached.withColumnRenamed("r", "from_dst"), "from_dst").select("r")).distinct()
-        found = reached.agg(F.lit(n).cast("long").alias("n"), F.count("*").alias("reached"))
-        out = found if out is None else out.union(found)
-    return out
-
-
-@_query("plan_noop_ranks", "SELECT d::BIGINT AS device, CASE WHEN d < 2 THEN 'point_to_point' ELSE 'no_op' END AS move FROM range(6) t(d)")
-def plan_noop_ranks(spark: SparkSession, _: str) -> DataFrame:
-    a, b, _m = MOVES["replicas to fewer"]
-    return spark.createDataFrame([(k, classify(a, b, k).value) for k in range(6)], "device long, move string")
-
-
-@_query("plan_bytes_per_link", f"SELECT src_shard, sum(bytes)::BIGINT AS bytes FROM ({_sql_plan(*MOVES['increase 3d'][:2], _overlap_sql(MOVES['increase 3d'][0]), 'both')}) GROUP BY src_shard")
-def plan_bytes_per_link(spark: SparkSession, _: str) -> DataFrame:
-    a, b, _m = MOVES["increase 3d"]
-    return transfer_plan(spark, a, b).groupBy("src_shard").agg(F.sum("bytes").alias("bytes"))
-
-
 # moves of data
 
 _RESHARDS: dict[str, tuple[str, str, str]] = {
@@ -555,28 +323,3 @@ def across_mask(spark: SparkSession, d: str) -> DataFrame:
     a = _to(spark, d, _events(spark, d, "N/8"), "N/8", 4)
     cells = a.sharded().withColumn("device", F.col("shard") + a.layout.devices.start)
     return across(cells, DeviceList(6, 3)).groupBy("shard", "device").agg(F.count("*").alias("cells"))
-
-
-def _total_of_shard(batches):
-    import pandas as pd
-
-    shard, total = None, 0
-    for b in batches:
-        if len(b):
-            shard, total = int(b["shard"].iloc[0]), total + int(b["v"].sum())
-    if shard is not None:
-        yield pd.DataFrame({"shard": [shard], "total": [total]})
-
-
-@_query("gang_kernel", _shards_sql(_EVENTS_SQL, E1, "sum(v)::BIGINT AS total"))
-def gang_kernel(spark: SparkSession, d: str) -> DataFrame:
-    """A kernel that sees a whole shard in batches: shards are partitions."""
-    return _events(spark, d, E1).kernel(_total_of_shard, "shard long, total long")
-
-
-@_query("bulk_launch", "SELECT d::BIGINT AS device, (42 + d)::BIGINT AS v FROM range(8) t(d)")
-def bulk_launch(spark: SparkSession, _: str) -> DataFrame:
-    return defer(lambda df: df.select("device", (F.col("device") + 42).alias("v")), spark.range(8).withColumnRenamed("id", "device"))
-
-
-assert len(TYPES) == 15

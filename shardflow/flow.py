@@ -7,12 +7,12 @@ one before, which lineage does.  Spark schedules the work.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
-from concurrent.futures import Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardflow.mesh import DeviceList
@@ -30,9 +30,18 @@ class View:
 
 @dataclass
 class Store:
-    """A mutable cell: every write is a new version."""
+    """A mutable cell: every write is a new version.
+
+    A task that asks for a store to write (:func:`defer`) gets a child: its versions are the task's own until it ends,
+    then the last of them becomes the parent's next version.  Children have children of their own.  While a child is
+    open the store can't be read or written, and views taken before stay as they are.
+    """
 
     versions: list[DataFrame] = field(default_factory=list)
+    parent: Store | None = None
+    #: For each version of the parent that a child made: the child's versions and those of its children.
+    made_by: dict[int, Store] = field(default_factory=dict)
+    writer: Store | None = None
 
     @classmethod
     def create(cls, df: DataFrame) -> Store:
@@ -40,6 +49,8 @@ class Store:
 
     @property
     def df(self) -> DataFrame:
+        if self.writer is not None:
+            raise RuntimeError("a task still writes the store")
         if not self.versions:
             raise LookupError("the store is empty")
         return self.versions[-1]
@@ -55,6 +66,41 @@ class Store:
         self.versions.append(change(self.df))
         return self
 
+    def child(self) -> Store:
+        """A store for one task to write, which begins with the current version."""
+        self.writer = Store([self.df], self)
+        return self.writer
+
+    def close(self) -> None:
+        """End a child: its last version is the parent's next, if it has written."""
+        parent = self._ended()
+        if self.version:
+            parent.versions.append(self.df)
+            parent.made_by[parent.version] = self
+
+    def drop(self) -> None:
+        """End a child, and its children, without a trace."""
+        if self.writer is not None:
+            self.writer.drop()
+        self._ended()
+
+    def _ended(self) -> Store:
+        if self.parent is None or self.parent.writer is not self:
+            raise RuntimeError("the store isn't open as a child")
+        if self.writer is not None:
+            raise RuntimeError("a task still writes the store")
+        self.parent.writer = None
+        return self.parent
+
+    def tree(self) -> list[tuple[str, DataFrame]]:
+        """All versions with their numbers: 2.1 is the first that the writer of version 2 made."""
+        out = []
+        for n, df in enumerate(self.versions):
+            if n in self.made_by:
+                out += [(f"{n}.{path}", x) for path, x in self.made_by[n].tree() if path != "0"]
+            out.append((str(n), df))
+        return out
+
     def checkpoint(self) -> Store:
         """Cut the lineage of a long chain: the current version is written to the shared checkpoint folder."""
         self.versions[-1] = self.df.checkpoint()
@@ -65,43 +111,68 @@ class Store:
         self.df.write.format("noop").mode("overwrite").save()
 
 
+class Writers(list):
+    """Several stores for one task to write: their new versions appear together or not at all.
+
+    ``durable``: they are computed and written to the shared checkpoint folder first, so that a version that can't be
+    computed keeps the others from appearing, too."""
+
+    def __init__(self, stores: list[Store], durable: bool = False):
+        super().__init__(stores)
+        self.durable = durable
+
+
+def _asks_for(task: Callable[..., Any]) -> list[Any]:
+    """What a task's parameters are annotated with; the last counts for all further arguments."""
+    try:
+        return [p.annotation for p in inspect.signature(task, eval_str=True).parameters.values()]
+    except (NameError, TypeError, ValueError):
+        return []
+
+
 def defer(task: Callable[..., Any], *args: Any) -> Any:
     """Call a task on deferred values: stores and views become the DataFrames they hold, tuples stay tuples.  Nothing
-    is computed; a task may defer further tasks, whose results are its own."""
-
-    def resolve(x: Any) -> Any:
+    is computed; a task may defer further tasks, whose results are its own.
+
+    A parameter annotated ``Store`` gets a store to write (a child of the argument), one annotated ``View`` a view,
+    and for :class:`Writers` a list of stores to write.  What the task wrote is handed over when it returns; when
+    it fails, nothing is.
+    """
+    wanted = _asks_for(task)
+    children: list[Store] = []
+    durable: list[Store] = []
+
+    def resolve(x: Any, want: Any = None) -> Any:
+        if isinstance(x, Writers):
+            mine = [s.child() for s in x]
+            children.extend(mine)
+            durable.extend(mine if x.durable else [])
+            return mine
+        if isinstance(x, Store) and want is Store:
+            children.append(x.child())
+            return children[-1]
         if isinstance(x, Store | View):
-            return x.df
+            return x.view() if want is View else x.df
         return type(x)(resolve(y) for y in x) if isinstance(x, list | tuple) else x
 
-    return task(*[resolve(x) for x in args])
+    try:
+        out = task(*[resolve(x, wanted[min(k, len(wanted) - 1)] if wanted else None) for k, x in enumerate(args)])
+        for c in children:
+            if c.writer is not None:
+                raise RuntimeError("a task that the task began still writes")
+        for c in durable:
+            if c.version:
+                c.checkpoint()
+    except BaseException:
+        for c in reversed(children):
+            if c.parent is not None and c.parent.writer is c:
+                c.drop()
+        raise
+    for c in children:
+        c.close()
+    return out
 
 
 def across(df: DataFrame, devices: DeviceList, device: str = "device") -> DataFrame:
     """Rows of the devices in a list: others have no part in what follows."""
     return df.filter(devices.contains_column(F.col(device)))
-
-
-class Launcher:
-    """Actions that run beside each other, each after those it names."""
-
-    def __init__(self, spark: SparkSession, threads: int = 4):
-        self._spark, self._pool = spark, ThreadPoolExecutor(threads)
-
-    def start(self, action: Callable[[], Any], after: list[Future] | None = None, region: str | None = None, pool: str | None = None) -> Future:
-        """``region`` names the jobs, ``pool`` is the scheduler pool (the priority) they run in."""
-
-        def run() -> Any:
-            for f in after or []:
-                f.result()
-            context = self._spark.sparkContext
-            context.setLocalProperty("spark.scheduler.pool", pool)
-            context.setLocalProperty("spark.job.description", region)
-            return action()
-
-        return self._pool.submit(run)
-
-    def stop(self, *futures: Future) -> None:
-        """Wait for all of them and end."""
-        wait(futures)
-        self._pool.shutdown()

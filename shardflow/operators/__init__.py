@@ -1,6 +1,7 @@
 """Operators on sharded arrays."""
 
 from shardflow.operators.array import ArrayCache, ShardedArray
+from shardflow.operators.blocks import BlockedArray, matmul
 from shardflow.operators.reshard import reshard
 
-__all__ = ["ArrayCache", "ShardedArray", "reshard"]
+__all__ = ["ArrayCache", "BlockedArray", "ShardedArray", "matmul", "reshard"]

@@ -1,7 +1,6 @@
 """Tables of transfers: (src_shard, dst_shard, lo, hi, cells, bytes), a row for each box that one shard sends another.
 
-These tables have as many rows as there are pairs of shards that exchange something; the cells themselves never
-join them.
+:func:`moved_cells` finds them in an array's cells; the others give the boxes that a move has for layouts alone.
 """
 
 from __future__ import annotations
@@ -9,12 +8,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardflow.functions.layout import layout_table
+from shardflow.functions.layout import cell_shards, layout_table
 from shardflow.layout import Sharding
+from shardflow.operators.array import ShardedArray
 from shardflow.plans.classify import Move, classify, split_dim
 from shardflow.types import width
 
 
+def moved_cells(array: ShardedArray, dst: Sharding, sender: str = "turn") -> DataFrame:
+    """What each destination shard gets from each source shard, by the cells that both hold: one partial aggregate.
+
+    Of the shards that hold a cell (replicas), the one sends whose ``turn`` it is by destination shard, the one of the
+    destination's ``block`` (destinations dealt to sources in equal runs), or each the ``slice`` of the tile that is its
+    own along the first dimension that divides."""
+    src, coords = array.layout, [F.col(c) for c in array.coords]
+    n = src.replicas
+    if sender == "slice":
+        k = split_dim(src)
+        d = src.dims[k]
+        rank = F.call_function("div", coords[src.real.index(k)] % d.extent, F.lit(d.extent // n))
+    elif sender == "block":
+        rank = F.call_function("div", F.col("dst_shard") * n, F.lit(dst.shards))
+    else:
+        rank = F.pmod(F.col("dst_shard"), F.lit(n))
+    sent = array.cells.select(*array.coords, cell_shards(src, coords).alias("srcs"), F.explode(cell_shards(dst, coords)).alias("dst_shard"))
+    ends = [f(c).alias(f"{name}{c}") for c in array.coords for name, f in (("lo_", F.min), ("hi_", F.max))]
+    found = sent.groupBy(F.get("srcs", rank.cast("int")).alias("src_shard"), "dst_shard").agg(*ends, F.count("*").alias("cells"))
+    corner = lambda name: F.array(*[F.col(f"{name}{c}") for c in array.coords])
+    return found.select("src_shard", "dst_shard", corner("lo_").alias("lo"), corner("hi_").alias("hi"), "cells", (F.col("cells") * width(array.dtype)).alias("bytes"))
+
+
 def _rows(df: DataFrame, dtype: str) -> DataFrame:
     cells = F.aggregate(F.zip_with("lo", "hi", lambda a, b: b - a + 1), F.lit(1).cast("long"), lambda a, x: a * x)
     return df.select("src_shard", "dst_shard", "lo", "hi", cells.alias("cells"), (cells * width(dtype)).alias("bytes"))

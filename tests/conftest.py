@@ -25,5 +25,6 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setCheckpointDir(f"file://{folder}/checkpoints")
     yield session
     session.stop()

@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from shardflow.flow import Launcher, Store, across, defer
+from shardflow.flow import Store, View, Writers, across, defer
 from shardflow.mesh import DeviceList
 
 
@@ -20,13 +21,68 @@ def test_defer_nests_and_takes_lists(spark):
     assert total.first()["s"] == 20
 
 
-def test_launcher_orders_actions(spark):
-    seen = []
-    run = Launcher(spark)
-    a = run.start(lambda: seen.append(spark.range(10).count()), region="first")
-    b = run.start(lambda: seen.append(spark.range(20).count()), after=[a], pool="low")
-    run.stop(a, b)
-    assert seen == [10, 20]
+def plus(n):
+    return lambda df: df.withColumn("v", F.col("v") + n)
+
+
+def total(df):
+    return df.agg(F.sum("v")).first()[0]
+
+
+def test_a_writer_hands_its_last_version_over(spark):
+    s = Store.create(spark.range(4).withColumn("v", F.lit(0)))
+
+    def inner(store: Store):
+        store.write(plus(1)).write(plus(1))
+
+    def outer(store: Store, before: View):
+        store.write(plus(10))
+        with pytest.raises(RuntimeError, match="still writes"):
+            s.df  # noqa: B018
+        defer(inner, store)
+        store.write(plus(100))
+        return before
+
+    kept = defer(outer, s, s.view())
+    assert s.version == 1 and total(s.df) == 4 * 112 and total(kept.df) == 0
+    assert [(path, total(df)) for path, df in s.tree()] == [("0", 0), ("1.1", 40), ("1.2.1", 44), ("1.2.2", 48), ("1.2", 48), ("1.3", 448), ("1", 448)]
+    defer(lambda df: df, s)
+    assert s.version == 1
+
+
+def test_a_task_that_fails_leaves_nothing(spark):
+    stores = [Store.create(spark.range(3).withColumn("v", F.lit(k))) for k in range(3)]
+
+    def fails(writers):
+        writers[0].write(plus(1))
+        defer(lambda more: more[0].write(plus(1)), Writers(writers[1:2]))
+        raise ArithmeticError
+
+    with pytest.raises(ArithmeticError):
+        defer(fails, Writers(stores))
+    assert [s.version for s in stores] == [0, 0, 0] and [total(s.df) for s in stores] == [0, 3, 6]
+
+    def bad(writers):
+        writers[0].write(plus(1))
+        writers[2].write(lambda df: df.withColumn("v", F.raise_error(F.lit("no value")).cast("int")))
+
+    with pytest.raises(Exception, match="no value"):
+        defer(bad, Writers(stores, durable=True))
+    assert [s.version for s in stores] == [0, 0, 0]
+    defer(lambda w: [s.write(plus(5)) for s in w[:2]], Writers(stores, durable=True))
+    assert [s.version for s in stores] == [1, 1, 0] and [total(s.df) for s in stores] == [15, 18, 6]
+
+
+def test_a_store_has_one_writer_at_a_time(spark):
+    s = Store.create(spark.range(1).withColumn("v", F.lit(0)))
+    c = s.child()
+    for f in (s.child, s.view, lambda: s.write(plus(1))):
+        with pytest.raises(RuntimeError):
+            f()
+    c.write(plus(1)).close()
+    assert s.version == 1
+    with pytest.raises(RuntimeError, match="isn't open"):
+        c.close()
 
 
 def test_across(spark):
