@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from shardflow.catalogue.arrays import _EVENTS_SQL, E1, _cells, _events, _layout, _query, _shards_sql
-from shardflow.flow import Store, View, Writers, defer
+from shardflow.catalogue.arrays import _CUBE_SQL, _EVENTS_SQL, E1, E3, _cells, _cube, _events, _layout, _query, _shards_sql
+from shardflow.flow import Store, View, Writers, after, defer
 from shardflow.mesh import DeviceList
-from shardflow.operators import ArrayCache, ShardedArray, reshard
+from shardflow.operators import ArrayCache, ShardedArray, reshard, reshard_to
 from shardflow.operators.array import swap
 from shardflow.sources.arrays import table
 
@@ -109,6 +110,42 @@ def array_swap_identity(spark: SparkSession, d: str) -> DataFrame:
     return found.select("shard", "cells", "first", "v_sum", F.lit(a.id == out.id == back.id).alias("same_id"), F.lit(level).alias("out_level"), F.lit("memory" if back.cells.storageLevel.useMemory else "disk").alias("in_level"))
 
 
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@_query("token_order", f"SELECT (i0 % 7)::BIGINT AS k, sum(v + 3)::BIGINT AS v, count(*)::BIGINT AS n FROM {_EVENTS_SQL} GROUP BY 1")
+def token_order(spark: SparkSession, d: str) -> DataFrame:
+    """A task without a result writes a table, and one that begins after it reads the table."""
+    path = _shared(spark, "token")
+
+    def write(df: DataFrame) -> None:
+        df.withColumn("v", F.col("v") + 3).write.parquet(path)
+
+    written = defer(write, Store.create(_cells(spark, d)))
+    return after(written).defer(lambda: spark.read.parquet(path).groupBy((F.col("i0") % 7).alias("k")).agg(F.sum("v").alias("v"), F.count("*").alias("n")))
+
+
+@_query("token_store", f"SELECT sum(2 * v + 1)::BIGINT AS v, 1::BIGINT AS version FROM {_EVENTS_SQL}")
+def token_store(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a store that the first task writes: its new version is computed before the second begins."""
+    s = Store.create(_cells(spark, d))
+
+    def write(store: Store) -> None:
+        store.write(lambda df: df.withColumn("v", 2 * F.col("v") + 1))
+
+    return after(defer(write, s)).defer(lambda df: df.agg(F.sum("v").alias("v"), F.lit(s.version).cast("long").alias("version")), s)
+
+
+@_query("reshard_stored", _shards_sql(_CUBE_SQL, "M/5@0, 10/2@1, 10/1@2", "count(*)::BIGINT AS cells, sum(v)::BIGINT AS v_sum"))
+def reshard_stored(spark: SparkSession, d: str) -> DataFrame:
+    """An array moved and kept as a table by piece, read back shard by shard of the new layout."""
+    a = reshard_to(_cube(spark, d, E3), _layout(spark, d, "M/5@0, 10/2@1, 10/1@2"), _shared(spark, "reshard"))
+    tiles = [a.tile(k).agg(F.lit(k).cast("long").alias("shard"), F.count("*").alias("cells"), F.sum("v").alias("v_sum")) for k in range(a.layout.shards)]
+    return reduce(DataFrame.union, tiles)
+
+
 # one value on many devices
 
 #: Devices that hold a value and those that get it: first device, number.

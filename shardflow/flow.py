@@ -122,6 +122,38 @@ class Writers(list):
         self.durable = durable
 
 
+@dataclass
+class Token:
+    """That a task without a result has ended: what it wrote (:meth:`wait` computes it), and no value."""
+
+    written: list[Store] = field(default_factory=list)
+    done: bool = False
+
+    def wait(self) -> None:
+        """Compute the versions that the task wrote, once."""
+        if not self.done:
+            for s in self.written:
+                s.wait()
+            self.done = True
+
+
+@dataclass(frozen=True)
+class After:
+    """Tasks that begin when others have ended, with all that they wrote computed: for what no lineage orders, such as
+    a table that one task writes and another reads."""
+
+    tokens: tuple[Token, ...]
+
+    def defer(self, task: Callable[..., Any], *args: Any) -> Any:
+        for t in self.tokens:
+            t.wait()
+        return defer(task, *args)
+
+
+def after(*tokens: Token) -> After:
+    return After(tokens)
+
+
 def _asks_for(task: Callable[..., Any]) -> list[Any]:
     """What a task's parameters are annotated with; the last counts for all further arguments."""
     try:
@@ -136,7 +168,7 @@ def defer(task: Callable[..., Any], *args: Any) -> Any:
 
     A parameter annotated ``Store`` gets a store to write (a child of the argument), one annotated ``View`` a view,
     and for :class:`Writers` a list of stores to write.  What the task wrote is handed over when it returns; when
-    it fails, nothing is.
+    it fails, nothing is.  A task that returns nothing gives a :class:`Token`.
     """
     wanted = _asks_for(task)
     children: list[Store] = []
@@ -170,7 +202,7 @@ def defer(task: Callable[..., Any], *args: Any) -> Any:
         raise
     for c in children:
         c.close()
-    return out
+    return Token([c.parent for c in children if c.version and c.parent is not None]) if out is None else out
 
 
 def across(df: DataFrame, devices: DeviceList, device: str = "device") -> DataFrame:

@@ -2,6 +2,6 @@
 
 from shardflow.operators.array import ArrayCache, ShardedArray
 from shardflow.operators.blocks import BlockedArray, matmul
-from shardflow.operators.reshard import reshard
+from shardflow.operators.reshard import reshard, reshard_to
 
-__all__ = ["ArrayCache", "BlockedArray", "ShardedArray", "matmul", "reshard"]
+__all__ = ["ArrayCache", "BlockedArray", "ShardedArray", "matmul", "reshard", "reshard_to"]

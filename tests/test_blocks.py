@@ -13,6 +13,7 @@ from shardflow.mesh import DeviceList
 from shardflow.operators import ArrayCache, BlockedArray, ShardedArray, matmul
 from shardflow.operators.array import ArrayIds, swap
 from shardflow.operators.gang import gang
+from shardflow.operators.reshard import label, reshard_to
 from shardflow.plans.classify import UnsupportedReshard
 from shardflow.sources.arrays import from_digits, from_key, from_lists
 
@@ -140,3 +141,15 @@ def test_ids_and_pools(spark):
     assert memory.counts() == {a.layout.short("S64"): 0} and disk.counts() == {a.layout.short("S64"): 1}
     gone = swap(back, disk)
     assert gone.id == a.id and contents(gone.cells, 1) == contents(b.cells, 1) and not back.cells.is_cached
+
+
+def test_an_array_that_is_kept_where_it_went(spark, tmp_path):
+    a = cells(spark, (12, 10), "12/2@1, 10/1@0")
+    path = str(tmp_path / "moved")
+    b = reshard_to(a, Sharding.of("12/3@0, 10/5@1"), path)
+    assert contents(b.cells, 2) == contents(a.cells, 2) and len(list((tmp_path / "moved").glob("piece=*"))) == 3
+    got = b.map(lambda v: v + 1).tile(7)
+    assert contents(got, 2) == [(i, j, v + 1) for i, j, v in contents(a.cells, 2) if 4 <= i < 8 and 4 <= j < 6]
+    assert "PartitionFilters: [isnotnull(piece" in scanned(got) and len(b.tile(7).inputFiles()) >= 1 and all("piece=" in f for f in b.tile(7).inputFiles())
+    assert label(a, b.layout).startswith("reshard  TYPE=S64 [ 12 10 ] % [ 2 1 ] -> TYPE=S64 [ 12 10 ] % [ 3 5 ]: 64 bytes a shard, devices 0-1 -> 0-14")
+    assert spark.sparkContext.getLocalProperty("spark.job.description") is None

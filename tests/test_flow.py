@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shardflow.flow import Store, View, Writers, across, defer
+from shardflow.flow import Store, Token, View, Writers, across, after, defer
 from shardflow.mesh import DeviceList
 
 
@@ -85,5 +85,18 @@ def test_a_store_has_one_writer_at_a_time(spark):
         c.close()
 
 
+def test_tokens(spark):
+    s, seen = Store.create(spark.range(2).withColumn("v", F.lit(1))), []
+
+    def write(store: Store):
+        store.write(plus(4))
+
+    first = defer(write, s)
+    second = defer(lambda: seen.append("second"))
+    assert isinstance(first, Token) and [x.version for x in first.written] == [1] and not first.done and second.written == []
+    assert after(first, second).defer(lambda df: (seen.append("third"), total(df))[1], s) == 10
+    assert first.done and seen == ["second", "third"]
+
+
 def test_across(spark):
     assert sorted(r["device"] for r in across(spark.range(8).withColumnRenamed("id", "device"), DeviceList(2, 3)).collect()) == [2, 3, 4]
