@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from shardflow.catalogue.arrays import _CUBE_SQL, _EVENTS_SQL, E1, E3, _cells, _cube, _events, _layout, _query, _shards_sql
-from shardflow.flow import Store, View, Writers, after, defer
+from shardflow.flow import Future, Store, View, Writers, after, defer
+from shardflow.layout import Sharding
 from shardflow.mesh import DeviceList
 from shardflow.operators import ArrayCache, ShardedArray, reshard, reshard_to
 from shardflow.operators.array import swap
@@ -146,6 +147,31 @@ def reshard_stored(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.union, tiles)
 
 
+@_query("future_value", f"""WITH m AS (SELECT max(v) AS m FROM {_EVENTS_SQL})
+ SELECT count(*)::BIGINT AS n, sum(v)::BIGINT AS v, any_value(m)::BIGINT AS most FROM {_EVENTS_SQL}, m WHERE 2 * v > m""")
+def future_value(spark: SparkSession, d: str) -> DataFrame:
+    """A value that is computed first, and decides what a later task does."""
+    cells = _cells(spark, d)
+    most = Future(cells.agg(F.max("v"))).get()
+    return defer(lambda df: df.filter(2 * F.col("v") > most).agg(F.count("*").alias("n"), F.sum("v").alias("v"), F.lit(most).cast("long").alias("most")), cells)
+
+
+def _there_and_back(store: Store, there: Sharding, back: Sharding) -> None:
+    """A task that moves the array it writes, changes it there, and moves it back."""
+    store.write(lambda a: reshard(a, there).map(lambda v: v + 1))
+    store.write(lambda a: reshard(a, back).scale(2))
+
+
+@_query("store_of_arrays", _shards_sql(f"(SELECT i0, 16 * v + 30 AS v FROM {_EVENTS_SQL})", E1, "count(*)::BIGINT AS cells, sum(v)::BIGINT AS v_sum, 4::BIGINT AS version, 13::BIGINT AS versions"))
+def store_of_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """A store of an array that four tasks in turn move to other devices and back; all versions stay."""
+    s = Store.create(_events(spark, d, E1))
+    for start in range(4):
+        defer(_there_and_back, s, _layout(spark, d, "N/2@0, 1/2@1", start), s.df.layout)
+    found = s.df.sharded().groupBy("shard").agg(F.count("*").alias("cells"), F.sum("v").alias("v_sum"))
+    return found.select("*", F.lit(s.version).cast("long").alias("version"), F.lit(len(s.tree())).cast("long").alias("versions"))
+
+
 # one value on many devices
 
 #: Devices that hold a value and those that get it: first device, number.

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardflow.mesh import DeviceList
+from shardflow.operators.array import ShardedArray
 
 
 @dataclass(frozen=True)
@@ -30,7 +31,7 @@ class View:
 
 @dataclass
 class Store:
-    """A mutable cell: every write is a new version.
+    """A mutable cell of a DataFrame or an array: every write is a new version.
 
     A task that asks for a store to write (:func:`defer`) gets a child: its versions are the task's own until it ends,
     then the last of them becomes the parent's next version.  Children have children of their own.  While a child is
@@ -103,12 +104,14 @@ class Store:
 
     def checkpoint(self) -> Store:
         """Cut the lineage of a long chain: the current version is written to the shared checkpoint folder."""
-        self.versions[-1] = self.df.checkpoint()
+        now = self.df
+        self.versions[-1] = replace(now, cells=now.cells.checkpoint(), box=None) if isinstance(now, ShardedArray) else now.checkpoint()
         return self
 
     def wait(self) -> None:
         """Compute the current version."""
-        self.df.write.format("noop").mode("overwrite").save()
+        now = self.df
+        (now.cells if isinstance(now, ShardedArray) else now).write.format("noop").mode("overwrite").save()
 
 
 class Writers(list):
@@ -150,6 +153,23 @@ class After:
         return defer(task, *args)
 
 
+@dataclass(frozen=True)
+class Future:
+    """One value that is still to be computed: a DataFrame of one row and one column."""
+
+    df: DataFrame
+
+    def view(self) -> View:
+        return View(self.df)
+
+    def get(self) -> Any:
+        """Compute it and wait for it; a table that isn't one value is an error."""
+        rows = self.df.take(2)
+        if len(rows) != 1 or len(rows[0]) != 1:
+            raise ValueError("not one row of one column")
+        return rows[0][0]
+
+
 def after(*tokens: Token) -> After:
     return After(tokens)
 
@@ -183,7 +203,7 @@ def defer(task: Callable[..., Any], *args: Any) -> Any:
         if isinstance(x, Store) and want is Store:
             children.append(x.child())
             return children[-1]
-        if isinstance(x, Store | View):
+        if isinstance(x, Store | View | Future):
             return x.view() if want is View else x.df
         return type(x)(resolve(y) for y in x) if isinstance(x, list | tuple) else x
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shardflow.flow import Store, Token, View, Writers, across, after, defer
+from shardflow.flow import Future, Store, Token, View, Writers, across, after, defer
 from shardflow.mesh import DeviceList
 
 
@@ -98,5 +98,12 @@ def test_tokens(spark):
     assert first.done and seen == ["second", "third"]
 
 
+def test_futures(spark):
+    f = Future(spark.range(5).agg(F.sum("id")))
+    assert f.get() == 10 and f.view().df.first()[0] == 10 and defer(lambda df: df.first()[0] + 1, f) == 11
+    with pytest.raises(ValueError, match="one row"):
+        Future(spark.range(2)).get()
+
+
 def test_across(spark):
     assert sorted(r["device"] for r in across(spark.range(8).withColumnRenamed("id", "device"), DeviceList(2, 3)).collect()) == [2, 3, 4]
