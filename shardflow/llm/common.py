@@ -231,6 +231,59 @@ def add_counts(dtype):
     return lambda old, new: (np.frombuffer(old, dtype) + np.frombuffer(new, dtype)).tobytes()
 
 
+#: The most bits of a filter of hashes (16 MB), whatever the number of keys; a fuller one lets more rows through.
+FILTER_LIMIT = 1 << 27
+
+
+def hash_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of a column of 64-bit hashes (bytes of bits): 16 bits a key up to ``FILTER_LIMIT``, three of them
+    set inside one block of 512.  A task gets the keys of its part of the filter, so that parts are never merged."""
+    (name,) = keys.columns
+    bits = min(FILTER_LIMIT, 1 << max(16, (16 * keys.count() - 1).bit_length()))
+    chunk = min(bits, 1 << 19)
+    lead = (bits // chunk).bit_length() - 1
+    part = F.shiftrightunsigned(F.col(name), 64 - lead) if lead else F.lit(0).cast("long")
+
+    def build(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            places = _filter_places(b.column(1).to_numpy().view(np.uint64), bits)
+            for k in np.unique(b.column(0).to_numpy()):
+                own = places[b.column(0).to_numpy() == k] - k * chunk
+                held.setdefault(int(k), np.zeros(chunk, bool))[own.ravel()] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], ["part", "bits"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    placed = keys.select(part.alias("part"), name).repartition(min(32, bits // chunk), "part")
+    for r in placed.mapInArrow(build, "part long, bits binary").toLocalIterator():
+        out[r["part"] * chunk // 8 : (r["part"] + 1) * chunk // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _filter_places(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of each key: three in a block that its leading bits choose."""
+    block = keys >> np.uint64(64 - (bits.bit_length() - 1 - 9))
+    probes = [(keys >> np.uint64(9 * k)) & np.uint64(511) for k in range(3)]
+    return np.stack([block * np.uint64(512) + x for x in probes], axis=1).astype(np.int64)
+
+
+def in_filter(found: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a filter may hold each key."""
+    at = _filter_places(keys.view(np.uint64) if keys.dtype == np.int64 else keys, 8 * len(found))
+    return ((found[at >> 3] << (at & 7).astype(np.uint8)) & 128 > 0).all(axis=1)
+
+
+def filtered_by(df: DataFrame, column: str, found: np.ndarray, keep: bool = True) -> DataFrame:
+    """Rows whose hash the filter may hold, or (not ``keep``) those that it surely hasn't."""
+    shared = df.sparkSession.sparkContext.broadcast(found)
+
+    @F.arrow_udf("boolean")
+    def held(keys: pa.Array) -> pa.Array:
+        return pa.array(in_filter(shared.value, keys.to_numpy()) == keep)
+
+    return df.filter(held(F.col(column)))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """The table without the columns of these names, in any case, as Spark tells names apart."""
     lower = {n.lower() for n in names}

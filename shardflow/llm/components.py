@@ -15,6 +15,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     linked to its smallest neighbour); the table is written after each round, and rounds end when nothing changes.
     A hub's links are rows, minima are partial aggregates, and a hub's rows reach its minimum by a join that Spark
     can split, so no node's neighbours are gathered in one task.
+
+    Links of a node with itself and links with a null end are left out, repeated links count once, nodes without links
+    have no row, an empty table gives an empty one.
     """
     edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None

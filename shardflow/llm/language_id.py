@@ -2,8 +2,10 @@
 
 Each language has a context tree over bytes (A-Z lower-cased) of orders 0 to 3, counted on a bounded sample of
 labelled documents and then frozen.  A byte costs -log2 of its share in the longest context that has seen it, plus
-the escapes of the longer contexts that have not (method C, no exclusion); a text's exact code length is the sum
-over all its bytes, and the language with the shortest code is predicted.
+the escapes of the longer contexts that have not (method C, no exclusion); a text's code length is the sum over all
+its bytes, and the language with the shortest code is predicted.  The model is bounded: it has the ``NODES`` third-order
+contexts that all languages together show most and tells ``SYMBOLS`` byte values apart; the rest are one symbol, which
+isn't divided among them, so that code lengths are exact in that model only.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is everything if nothing can be learned.
 Repeated rows are predicted alike, ties go to the alphabetically first language, other columns are kept (results
@@ -114,7 +116,7 @@ class ContextTrees:
 
 
 def train(docs: DataFrame, train_on: F.Column, text: str = "text", lang: str = "lang", max_rows: int = 3_000) -> ContextTrees | None:
-    """Learn from at most about ``max_rows`` documents a language (chosen by a hash of text length and id)."""
+    """Learn from at most about ``max_rows`` documents a language (chosen by a hash of the doc_id)."""
     bounded_batches(docs.sparkSession)
     rows = docs.filter(train_on & F.col(text).isNotNull() & F.col(lang).isNotNull())
     n = {r[lang]: r["count"] for r in rows.groupBy(lang).count().collect()}
