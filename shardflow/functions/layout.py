@@ -60,6 +60,15 @@ def cell_shards(layout: Sharding, coords: list[Column]) -> Column:
     return out
 
 
+def held(rows: DataFrame, layout: Sharding, coords: list[Column]) -> DataFrame:
+    """The rows that lie in a tile; where sizes divide these are all, and nothing is filtered."""
+    for c, k in zip(coords, layout.real, strict=True):
+        d = layout.dims[k]
+        if d.tail:
+            rows = rows.filter(c < d.extent * d.sharding)
+    return rows
+
+
 def _copies(shards: Column, n: int, stride: int) -> Column:
     """Each shard and those of its n - 1 further replicas."""
     steps = F.sequence(F.lit(0).cast("long"), F.lit((n - 1) * stride).cast("long"), F.lit(stride).cast("long"))

@@ -27,21 +27,30 @@ class Dim:
     def extent(self) -> int:
         return self.size // self.sharding
 
+    @property
+    def tail(self) -> int:
+        """How many places lie behind the last piece."""
+        return self.size % self.sharding
+
 
 @dataclass(frozen=True)
 class Sharding:
+    """With ``tails`` sizes needn't divide: tiles are whole pieces, the array keeps what lies behind the last of them (less
+    than a cell for each piece), and no shard holds it.  Without, such sizes are rejected."""
+
     dims: tuple[Dim, ...]
     devices: DeviceList
+    tails: bool = False
 
     @classmethod
-    def of(cls, text: str, start: int = 0, n: int | None = None) -> Sharding:
+    def of(cls, text: str, start: int = 0, n: int | None = None, tails: bool = False) -> Sharding:
         """From text such as ``8/2@0, 1/4@1`` (size, pieces, place); devices default to one a piece."""
         dims = []
         for part in text.split(","):
             body, _, place = part.strip().partition("@")
             size, _, pieces = body.partition("/")
             dims.append(Dim(int(size), int(pieces or 1), int(place or 0)))
-        return cls(tuple(dims), DeviceList(start, n if n is not None else prod(d.sharding for d in dims)))
+        return cls(tuple(dims), DeviceList(start, n if n is not None else prod(d.sharding for d in dims)), tails)
 
     # predicates
 
@@ -98,11 +107,11 @@ class Sharding:
         return prod(self.dims[k].sharding for k in order[order.index(dim) + 1 :])
 
     def validate(self) -> Sharding:
-        """Pieces must be as many as devices, and sizes must divide: tails would belong to no shard."""
+        """Pieces must be as many as devices, and sizes must divide unless tails may belong to no shard."""
         if self.shards != self.devices.n:
             raise ValueError(f"{self.shards} pieces on {self.devices.n} devices")
         for k in self.real:
-            if self.dims[k].size % self.dims[k].sharding:
+            if self.dims[k].tail and not (self.tails and self.dims[k].extent):
                 raise ValueError(f"size {self.dims[k].size} doesn't divide into {self.dims[k].sharding} pieces")
         if sorted(d.permutation for d in self.dims) != list(range(len(self.dims))) and any(d.permutation for d in self.dims):
             raise ValueError("places must be all different")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from shardflow.functions.layout import cell_shards
+from shardflow.functions.layout import cell_shards, held
 from shardflow.layout import Sharding
 from shardflow.mesh import DeviceList
 from shardflow.types import TYPES
@@ -60,8 +60,9 @@ class ShardedArray:
 
     def sharded(self) -> DataFrame:
         """The cells of every shard: shard, coordinates, v.  Narrow: no row moves."""
-        shards = cell_shards(self.layout, [F.col(c) for c in self.coords])
-        return self.cells.select(F.explode(shards).alias("shard"), *self.coords, "v") if self.layout.replicas > 1 else self.cells.select(shards[0].alias("shard"), *self.coords, "v")
+        coords = [F.col(c) for c in self.coords]
+        shards, cells = cell_shards(self.layout, coords), held(self.cells, self.layout, coords)
+        return cells.select(F.explode(shards).alias("shard"), *self.coords, "v") if self.layout.replicas > 1 else cells.select(shards[0].alias("shard"), *self.coords, "v")
 
     def placed(self) -> DataFrame:
         """The same with a partition for each shard (an int here): one shuffle, which grouping by shard uses again."""

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardflow.functions.layout import cell_shards
+from shardflow.functions.layout import cell_shards, held
 from shardflow.layout import Sharding
 from shardflow.operators.array import ShardedArray
 from shardflow.plans.classify import Move, UnsupportedReshard, classify
@@ -111,10 +111,11 @@ class BlockedArray:
 
     def by_shard(self) -> DataFrame:
         """Rows (shard, lo, size, vals): the blocks of every shard, replicas too.  No row moves."""
-        shards = cell_shards(self.layout, [F.col("lo")[j] for j in range(self.rank)])
+        corner = [F.col("lo")[j] for j in range(self.rank)]
+        shards, pieces = cell_shards(self.layout, corner), held(self.pieces, self.layout, corner)
         if self.layout.replicas > 1:
-            return self.pieces.select(F.explode(shards).alias("shard"), "lo", "size", "vals")
-        return self.pieces.select(shards[0].alias("shard"), "lo", "size", "vals")
+            return pieces.select(F.explode(shards).alias("shard"), "lo", "size", "vals")
+        return pieces.select(shards[0].alias("shard"), "lo", "size", "vals")
 
     def map(self, value: Callable[[Column], Column], dtype: str | None = None) -> BlockedArray:
         """A new value for every cell from its old one."""
@@ -140,13 +141,15 @@ class BlockedArray:
         return ShardedArray(rows.select(*coords, "v"), self.layout, self.dtype)
 
     def reshard(self, dst: Sharding, strict: bool = False) -> BlockedArray:
-        """The same array in another layout: blocks are cut at the new tiles' bounds, none is taken apart."""
+        """The same array in another layout: blocks are cut at the new tiles' bounds, none is taken apart.  Shards send
+        what they hold; a tail that is in no tile here stays behind."""
         dst.validate()
         if [self.layout.dims[k].size for k in self.layout.real] != [dst.dims[k].size for k in dst.real]:
             raise UnsupportedReshard(f"{self.layout.short(self.dtype)} -> {dst.short(self.dtype)}")
         if strict and classify(self.layout, dst) is Move.UNSUPPORTED:
             raise UnsupportedReshard(f"{self.layout.short(self.dtype)} -> {dst.short(self.dtype)}")
-        return replace(self, pieces=cut(self.pieces, dst), layout=dst)
+        sent = held(self.pieces, self.layout, [F.col("lo")[j] for j in range(self.rank)])
+        return replace(self, pieces=cut(sent, dst), layout=dst)
 
     def moves(self, dst: Sharding) -> DataFrame:
         """Rows (src_shard, dst_shard, pieces, cells, bytes): what each destination shard gets from each source shard.
@@ -154,7 +157,7 @@ class BlockedArray:
         Of a tile's replicas the one sends whose turn it is: destination shards take them in turn.
         """
         coords = [F.col("lo")[j] for j in range(self.rank)]
-        sent = self.reshard(dst).pieces.select(cell_shards(self.layout, coords).alias("srcs"), F.explode(cell_shards(dst, coords)).alias("dst_shard"), F.size("vals").cast("long").alias("cells"))
+        sent = held(self.reshard(dst).pieces, dst, coords).select(cell_shards(self.layout, coords).alias("srcs"), F.explode(cell_shards(dst, coords)).alias("dst_shard"), F.size("vals").cast("long").alias("cells"))
         src = F.get("srcs", F.pmod(F.col("dst_shard"), F.size("srcs")).cast("int"))
         return sent.groupBy(src.alias("src_shard"), "dst_shard").agg(F.count("*").alias("pieces"), F.sum("cells").alias("cells"), (F.sum("cells") * width(self.dtype)).alias("bytes"))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardflow.functions.layout import cell_shards, layout_table
+from shardflow.functions.layout import cell_shards, held, layout_table
 from shardflow.layout import Sharding
 from shardflow.operators.array import ShardedArray
 from shardflow.plans.classify import Move, classify, split_dim
@@ -31,7 +31,8 @@ def moved_cells(array: ShardedArray, dst: Sharding, sender: str = "turn") -> Dat
         rank = F.call_function("div", F.col("dst_shard") * n, F.lit(dst.shards))
     else:
         rank = F.pmod(F.col("dst_shard"), F.lit(n))
-    sent = array.cells.select(*array.coords, cell_shards(src, coords).alias("srcs"), F.explode(cell_shards(dst, coords)).alias("dst_shard"))
+    cells = held(held(array.cells, src, coords), dst, coords)
+    sent = cells.select(*array.coords, cell_shards(src, coords).alias("srcs"), F.explode(cell_shards(dst, coords)).alias("dst_shard"))
     ends = [f(c).alias(f"{name}{c}") for c in array.coords for name, f in (("lo_", F.min), ("hi_", F.max))]
     found = sent.groupBy(F.get("srcs", rank.cast("int")).alias("src_shard"), "dst_shard").agg(*ends, F.count("*").alias("cells"))
     corner = lambda name: F.array(*[F.col(f"{name}{c}") for c in array.coords])
