@@ -1,9 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
 Bigrams of toxic and of ordinary documents are counted over all labelled training documents (up to a bound of rows).
-Words are hashed to ``WORDS`` classes; of bigrams that share one of ``PAIRS`` places the most frequent is kept.  For
-class c, with counts n, discounts D from counts of counts, and r(v) what the bigrams of v that are kept leave of its
-count once they are discounted (so that what isn't kept goes to the shared models, too):
+Words are hashed to ``WORDS`` classes; no bigram of classes is left out.  For class c, with counts n, discounts D from
+counts of counts, and r(v) what the discounts take of all bigrams of v:
 
     P_c(w | v) = (n_c(v, w) - D_c + (r_c(v) + W) S_c(w | v)) / (n_c(v) + W)      S_c: both classes' bigrams
     S_c(w | v) = (n(v, w) - D + r(v) U_c(w)) / n(v), or U_c(w) where v is new    U_c: words of the class
@@ -14,7 +13,8 @@ and under U alone, over all its words and over its ``TOP`` most toxic ones.  Tra
 not seen (one in four) choose, of ``WEIGHTS``, what the shared bigrams weigh against a class's own (W), and a logistic
 fit on them makes the score.
 
-Counts are summed in Spark; tables of a fixed size (``WORDS``, ``PAIRS``) reach the workers.  Null and empty texts
+Counts are summed in Spark and kept in the shared folder, from which each worker reads those of bigrams once (8 bytes a
+bigram; the bound of rows bounds them); tables by word (of a fixed size) are broadcast.  Null and empty texts
 have no words and get the score of zeros.  Repeated rows score alike, other columns are kept (results replace columns
 of the same name); an empty table gives an empty table; where the held-out quarter has labels of one class only, the
 score is the share of toxic ones among all training rows (0 without any).
@@ -22,15 +22,22 @@ score is the share of toxic ones among all training rows (0 without any).
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardflow.llm.common import bounded_batches, drop_stored, labelled, run_hashes, stored, texts_of
+from shardflow.llm.common import bounded_batches, labelled, run_hashes, stored, texts_of
 
+#: Classes of words, bigrams that a worker reads at a time, words that count as a text's most toxic.
 WORDS, PAIRS, TOP = 1 << 18, 1 << 20, 3
+#: The largest count that is kept beside a bigram; larger ones have a table of their own.
+MOST = (1 << 14) - 1
 #: What the shared bigrams may weigh (in counts of the word before; the held-out fit chooses), and what the shared words do.
 WEIGHTS, COMMON_WORDS = (10.0, 100.0, 1000.0, 10_000.0), 0.3
 
@@ -45,8 +52,44 @@ def _words(column: pa.Array):
         yield first, v, w, bounds
 
 
-def _pair(v, w):
-    return (v * 7919 + w * 104729) % PAIRS
+class Bigrams:
+    """All bigrams in order, each with its two counts in one number: 36 bits of words, twice 14 of counts."""
+
+    def __init__(self, files: tuple[str, ...]):
+        opened = [pq.ParquetFile(place.open_input_file(path)) for place, path in map(fs.FileSystem.from_uri, files)]
+        self.packed = np.empty(sum(f.metadata.num_rows for f in opened), np.uint64)
+        at, many = 0, [np.zeros((3, 0), np.uint64)]
+        for f in opened:
+            for b in f.iter_batches(PAIRS, columns=["v", "w", "n0", "n1"]):
+                v, w, *n = (c.to_numpy().astype(np.uint64) for c in b.columns)
+                key, counts = v * np.uint64(WORDS) + w, np.array(n)
+                low = np.minimum(counts, np.uint64(MOST))
+                self.packed[at : at + len(key)] = key << np.uint64(28) | low[0] << np.uint64(14) | low[1]
+                at += len(key)
+                large = (counts >= MOST).any(axis=0)
+                many.append(np.array([key[large], *counts[:, large]]))
+            f.close(force=True)
+        self.packed.sort()
+        large = np.concatenate(many, axis=1)
+        self.large = large[:, np.argsort(large[0])]
+
+    def counts(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """How often each bigram is in ordinary and in toxic documents."""
+        key, back = np.unique((v * WORDS + w).astype(np.uint64), return_inverse=True)
+        n = np.zeros((2, len(key)))
+        if len(self.packed):
+            found = self.packed[np.minimum(np.searchsorted(self.packed, key << np.uint64(28)), len(self.packed) - 1)]
+            n = np.where(found >> np.uint64(28) == key, [found >> np.uint64(14) & np.uint64(MOST), found & np.uint64(MOST)], 0).astype(float)
+        if self.large.size:
+            at = np.minimum(np.searchsorted(self.large[0], key), self.large.shape[1] - 1)
+            n = np.where(self.large[0, at] == key, self.large[1:, at], n)
+        return n[:, back]
+
+
+@lru_cache(maxsize=1)
+def _bigrams(files: tuple[str, ...]) -> Bigrams:
+    """The bigrams of these files, which a worker reads once for all its tasks."""
+    return Bigrams(files)
 
 
 def count_pairs(training: DataFrame, text: str) -> DataFrame:
@@ -93,37 +136,31 @@ def _left(discounts: np.ndarray, count: str) -> F.Column:
     return F.sum(F.col(count) - F.element_at(F.array(*[F.lit(float(x)) for x in discounts]), F.expr(f"cast(least({count}, 3) as int) + 1")))
 
 
-def _fit_models(pairs: DataFrame) -> dict[str, np.ndarray]:
-    """Tables of fixed size from the counts of pairs; of pairs that share a place the most frequent stays."""
+def _fit_models(pairs: DataFrame) -> dict:
+    """The files of all pairs with their counts, and tables of fixed size by word."""
+    pairs = stored(pairs.select("v", "w", "n0", "n1"), "toxicity-pairs")
     kinds = ("n0", "n1", "n0 + n1")
     found = pairs.agg(*[F.coalesce(F.expr(f"sum(cast({n} = {k} as long))"), F.lit(0)) for n in kinds for k in (1, 2, 3, 4)]).first()
     discounts = np.array([_discounts(*found[4 * k : 4 * k + 4]) for k in range(3)])
     seen = [F.sum((F.col(f"n{c}") > 0).cast("int")).alias(f"t{c}") for c in (0, 1)]
     before = _table(pairs.groupBy("v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "v", WORDS, ["n0", "n1"])
     after = _table(pairs.groupBy("w").agg(F.count("*").alias("both"), *seen), "w", WORDS, ["t0", "t1", "both"])
-    place = pairs.groupBy(_pair(F.col("v").cast("long"), F.col("w").cast("long")).alias("p"))
-    top = place.agg(F.max(F.struct(F.expr("n0 + n1").alias("n"), (F.col("v").cast("long") * WORDS + F.col("w")).alias("key"), "n0", "n1", "v")).alias("top"))
-    top = stored(top.select("p", "top.*"), "toxicity-kept")
-    table = _table(top, "p", PAIRS, ["key", "n0", "n1"])
-    kept = _table(top.groupBy("v").agg(*[_left(discounts[k], n).alias(f"k{k}") for k, n in enumerate(("n0", "n1", "n"))]), "v", WORDS, ["k0", "k1", "k2"])
-    drop_stored(top)
+    kept = _table(pairs.withColumn("n", F.expr("n0 + n1")).groupBy("v").agg(*[_left(discounts[k], n).alias(f"k{k}") for k, n in enumerate(("n0", "n1", "n"))]), "v", WORDS, ["k0", "k1", "k2"])
     shared = (after[2] + 0.5) / (after[2] + 0.5).sum()
     own = []
     for c in (0, 1):
         n = _discounted(after[c], _discounts(*[(after[c] == k).sum() for k in (1, 2, 3, 4)]))
         own.append((1 - COMMON_WORDS) * n / n.sum() + COMMON_WORDS * shared if n.sum() else shared)
     rest = np.append(before, before.sum(axis=0)[None], axis=0) - kept
-    # where all places but one are empty, key 0 is no bigram: its counts are 0
     return {
-        "key": table[0].astype(np.int64), "pairs": table[1:].astype(np.float32), "discounts": discounts,
+        "files": tuple(pairs.inputFiles()), "discounts": discounts,
         "before": before.astype(np.float32), "rest": np.maximum(rest, 0).astype(np.float32), "own": np.array(own, np.float32),
     }
 
 
-def probabilities(model: dict[str, np.ndarray], v: np.ndarray, w: np.ndarray, weights=WEIGHTS) -> np.ndarray:
+def probabilities(model: dict, v: np.ndarray, w: np.ndarray, weights=WEIGHTS) -> np.ndarray:
     """P(w | v) for each weight and class."""
-    at = _pair(v, w)
-    n = np.where(model["key"][at] == v * WORDS + w, model["pairs"][:, at], 0).astype(float)
+    n = _bigrams(model["files"]).counts(v, w)
     before, rest, own, d = model["before"][:, v].astype(float), model["rest"][:, v].astype(float), model["own"][:, w].astype(float), model["discounts"]
     total = before.sum(axis=0)
     shared = np.where(total > 0, (_discounted(n[0] + n[1], d[2]) + rest[2] * own) / np.maximum(total, 1), own)
@@ -135,7 +172,7 @@ def probabilities(model: dict[str, np.ndarray], v: np.ndarray, w: np.ndarray, we
     return out
 
 
-def _ratios(model: dict[str, np.ndarray], v: np.ndarray, w: np.ndarray, weights=WEIGHTS) -> list[np.ndarray]:
+def _ratios(model: dict, v: np.ndarray, w: np.ndarray, weights=WEIGHTS) -> list[np.ndarray]:
     """log P(w | v, toxic) - log P(w | v, ordinary) for each weight, and last that of the continuation counts alone."""
     p, own = probabilities(model, v, w, weights), model["own"][:, w]
     return [*np.log(p[:, 1] / p[:, 0]), np.log(own[1] / own[0])]
@@ -180,7 +217,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_on: F.Column, doc_i
     bounded_batches(spark)
     training = labelled(docs.filter(train_on), labels, label, max_rows, doc_id).select(doc_id, text, "_label")
     held = F.pmod(F.xxhash64(F.col(doc_id), F.lit(7)), F.lit(4)) == 0
-    model = _fit_models(stored(count_pairs(training.filter(~held), text), "toxicity-pairs"))
+    model = _fit_models(count_pairs(training.filter(~held), text))
     shared = spark.sparkContext.broadcast(model)
     names = [f"x{k}" for k in range(2 * len(WEIGHTS) + 2)]
 

@@ -201,3 +201,12 @@ def test_hashes_do_not_depend_on_batches():
     data = np.frombuffer(b"abcabcabc", np.uint8)
     start, end = np.array([0, 3, 6]), np.array([3, 6, 9])
     assert len(set(hash_spans(data, start, end, 4).tolist())) == 1
+
+
+def test_no_pair_is_left_out(spark):
+    """More bigrams than any table of one place for each had room for, and counts beyond those kept beside them."""
+    pairs = spark.range(3_000_000).selectExpr("cast(id % 1009 * 250 as int) v", "cast(id div 1009 as int) w", "cast(id % 7 + if(id % 100003 = 0, 20000, 0) as int) n0", "cast(id % 3 + if(id % 100019 = 0, 16380, 0) as int) n1")
+    k = np.arange(0, 3_000_000, 1)
+    found = toxicity._bigrams(_fit_models(pairs)["files"]).counts(k % 1009 * 250, k // 1009)
+    assert (found == [k % 7 + 20000 * (k % 100003 == 0), k % 3 + 16380 * (k % 100019 == 0)]).all()
+    assert not toxicity._bigrams(_fit_models(pairs)["files"]).counts(k[:999] % 1009 * 250 + 1, k[:999]).any()
