@@ -14,6 +14,8 @@ member.  Pairs within a group are never listed, and every pair across groups tha
 
 The bound: two sets have at most as many shingles in common as their prefixes have, and one more for each that the
 larger has behind its prefix.  What the prefix of a query and the union of a group share is summed over the matrix.
+A pair that links does so from the first shingle that both share on, which must come early enough in both: a query meets
+a group only at shingles where sizes and positions leave room for that, and sums are made for groups met so.
 
 Null texts and texts without words have empty sets, which link with nothing; rows with a null doc_id have a null
 component and link nothing.  Each row links by its own text: rows with one doc_id and different texts may be of
@@ -213,13 +215,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     group = group.join(sizes, "component").withColumnRenamed("node", "rep")
 
     # the matrix: for each prefix shingle the groups that have it
-    entries = entries.select("token", "rep", "n").join(group, "rep", "left")
-    entries = stored(entries.select("token", "rep", "n", F.coalesce("component", "rep").alias("grp"), F.coalesce("gsize", F.lit(1)).alias("gsize")), "ngram-grouped")
-    matrix = entries.groupBy("token", "grp").agg(F.max("gsize").alias("gsize"), F.min("n").alias("n_low"), F.max("n").alias("n_high"))
+    entries = entries.select("token", "rep", "n", "pos").join(group, "rep", "left")
+    entries = stored(entries.select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("grp"), F.coalesce("gsize", F.lit(1)).alias("gsize")), "ngram-grouped")
+    matrix = entries.groupBy("token", "grp").agg(F.max("gsize").alias("gsize"), F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.min("pos").alias("pos_low"))
     several = matrix.groupBy("token").agg(F.count("*").alias("k"), F.max(F.struct("gsize", "grp")).alias("top")).filter("k > 1")
     matrix = stored(matrix.join(several.select("token", "top"), "token"), "ngram-matrix")
     queries = entries.join(matrix.select("token", "grp", "top"), ["token", "grp"]).filter(F.col("grp") != F.col("top.grp"))
-    queries = queries.select("token", F.col("rep").alias("q"), F.col("n").alias("qn"), F.struct("gsize", "grp").alias("own"))
+    queries = queries.select("token", F.col("rep").alias("q"), F.col("n").alias("qn"), "pos", F.struct("gsize", "grp").alias("own"))
 
     def enough(c: str, n_low: str, n_high: str) -> Column:
         """Whether a set of qn shingles that shares c of its prefix can link with one of n_low to n_high shingles."""
@@ -228,15 +230,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
         least = [(qn + m) * (share / (1 + share)) - F.greatest(qn, m) * share for m in (low, high)]
         return (low <= high) & (F.col(c) >= F.least(*least) - 1e-6)
 
-    # a query of the smaller group of two meets the larger, and opens it if what both share can be enough
+    # a query of the smaller group of two meets the larger at each shingle that can be the first that it shares with a
+    # member, and opens it if what both share can be enough
     fits = (100 * F.col("n_high") >= percent * F.col("qn")) & (100 * F.col("qn") >= percent * F.col("n_low"))
-    met = queries.join(matrix.drop("top").withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & (F.col("own") < F.struct("gsize", "grp")) & fits)
-    met = met.groupBy("q", "qn", "grp").agg(F.count("*").alias("c"), F.min("n_low").alias("n_low"), F.max("n_high").alias("n_high"))
-    qualify = stored(met.filter(enough("c", "n_low", "n_high")).select(F.col("q").alias("k"), F.col("grp").alias("g")), "ngram-qualify")
-    members = entries.select(F.col("token").alias("t"), "grp", "rep", "n")
-    opened = qualify.join(queries, F.col("k") == F.col("q")).join(members, (F.col("token") == F.col("t")) & (F.col("g") == F.col("grp")))
-    opened = opened.groupBy("q", "qn", "rep", "n").agg(F.count("*").alias("c")).filter(enough("c", "n", "n"))
-    more = _verified(opened.select(F.col("q").alias("a"), F.col("rep").alias("b")), reps, docs, n, percent, doc_id, text)
+    smallest = F.greatest(F.col("n_low"), F.ceil(percent * F.col("qn") / F.lit(100.0) - 1e-6))
+    first = F.least(F.col("qn") - F.col("pos"), F.col("n_high") - F.col("pos_low")) >= _needed(F.col("qn"), smallest, percent)
+    groups = matrix.drop("top").withColumnsRenamed({"token": "t", "grp": "g"})
+    met = queries.join(groups, (F.col("token") == F.col("t")) & (F.col("own") < F.struct("gsize", "g")) & fits & first)
+    met = stored(met.select("q", "qn", "token", "pos", F.col("g").alias("grp")), "ngram-met")
+    shares = met.select(F.col("q").alias("k"), F.col("grp").alias("with")).distinct().join(queries, F.col("k") == F.col("q"))
+    shares = shares.join(groups, (F.col("token") == F.col("t")) & (F.col("with") == F.col("g")) & fits)
+    shares = shares.groupBy("q", "qn", "g").agg(F.count("*").alias("c"), F.min("n_low").alias("n_low"), F.max("n_high").alias("n_high"))
+    qualify = stored(shares.filter(enough("c", "n_low", "n_high")).select("q", F.col("g").alias("grp")), "ngram-qualify")
+    members = entries.select(F.col("token").alias("t"), F.col("grp").alias("g"), "rep", "n", F.col("pos").alias("at"))
+    opened = met.join(qualify, ["q", "grp"], "left_semi").join(members, (F.col("token") == F.col("t")) & (F.col("grp") == F.col("g")) & may_link("qn", "pos", "n", "at"))
+    more = _verified(opened.select(F.col("q").alias("a"), F.col("rep").alias("b")).distinct(), reps, docs, n, percent, doc_id, text)
 
     linked = components(links.union(more)).withColumnRenamed("node", "rep")
     named = reps.select(F.col("rep").alias("s1"), "s2", "n", "id", "rep").join(linked, "rep", "left").withColumn("component", F.coalesce("component", "rep"))

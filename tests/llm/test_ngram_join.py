@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from shardflow.llm import ngram_join
 from shardflow.llm.components import components
 from shardflow.llm.ngram_join import near_duplicates
 
@@ -100,3 +101,23 @@ def test_components(spark):
             group[z] = x | y
     assert got == {z: min(s) for z, s in group.items() if len(s) > 1}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_queries_meet_groups_only_where_a_first_shared_shingle_can_be(spark, monkeypatch):
+    """A passage that many texts have fills their prefixes: they share most of these shingles and link with no other text."""
+    r = random.Random(31)
+    passage = [f"common{k}" for k in range(60)]
+    rows = [(k, " ".join([*(r.choice(WORDS) + str(r.randrange(10**6)) for _ in range(6)), *passage])) for k in range(60)]
+    rows += [(100 + k, " ".join([*passage, *(f"own{k // 3}x{j}" for j in range(40)), f"last{k}"])) for k in range(12)]
+    met = []
+    keep = ngram_join.stored
+
+    def counting(df, name):
+        out = keep(df, name)
+        met.extend([out.count()] if name == "ngram-met" else [])
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counting)
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute(rows, 3, 90)
+    assert len(met) == 1 and met[0] <= 60
