@@ -26,7 +26,6 @@ have any length; a run of a million characters without a cut makes one slow row.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -42,7 +41,9 @@ from shardflow.llm.common import bounded_batches, mix, powers, stored, without
 SPACE = "▁"
 FREQUENT = 1 << 19
 #: Characters that are looked at together, and those whose words a task gets; the most tasks; the most words grouped without a sort.
-RUN, TASK_CHARS, TASKS, GROUPS = 1 << 20, 1 << 21, 20_000, 100_000
+RUN, TASK_CHARS, TASKS, GROUPS = 1 << 18, 1 << 21, 20_000, 100_000
+#: Hashes and counts that a task keeps before it adds them up; words that it keeps.
+KEPT, NAMED = 1 << 20, 1 << 18
 #: The longest word whose boundaries are the bits of one number; the flag of ids that are characters without a piece.
 BITS, UNKNOWN = 61, 1 << 27
 
@@ -170,30 +171,54 @@ class Cutter:
 
 
 def _often(docs: DataFrame, text: str, pieces: Pieces) -> DataFrame:
-    """Rows (w, n): words that are seen twice or more in a run of texts, and how often; and one of a null word with the
-    number of characters of all texts, for each task."""
+    """Rows (w, n): words that a task sees twice or more, and how often; and one of a null word with the number of
+    characters of all texts, for each task."""
     neighbours = pieces.neighbours
 
     def run(batches):
-        cutter, seen, chars = Cutter(neighbours), Counter(), 0
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([*seen, None], pa.string()), pa.array([*seen.values(), chars], pa.int64())], ["w", "n"])
-
+        cutter, words, chars = Cutter(neighbours), Repeated(), 0
         for b in batches:
             for _, whole, start, end, h, _ in cutter.words(b.column(0).to_pylist()):
-                _, first, n = np.unique(h, return_index=True, return_counts=True)
                 chars += len(whole)
-                for k, m in zip(first[n > 1].tolist(), n[n > 1].tolist(), strict=True):
-                    seen[whole[start[k] : end[k]]] += m
-            if len(seen) > 100_000:
-                yield rows()
-                seen, chars = Counter(), 0
-        yield rows()
+                words.add(whole, start, end, h)
+            if words.full():
+                yield pa.RecordBatch.from_arrays(words.taken(), ["w", "n"])
+        yield pa.RecordBatch.from_arrays(words.taken(), ["w", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([chars], pa.int64())], ["w", "n"])
 
     return docs.select(text).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
+class Repeated:
+    """Counts of words by their hashes, over many runs of texts; a word is kept as text from its second time on."""
+
+    def __init__(self):
+        self.seen, self.texts, self.runs, self.rows = np.zeros(1 << 22, bool), {}, [], 0
+
+    def add(self, whole: str, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
+        h, first, n = np.unique(h, return_index=True, return_counts=True)
+        place = (h >> np.uint64(42)).astype(np.int64)
+        again = (n > 1) | self.seen[place]  # some are seen for the first time, at the place of another
+        self.seen[place] = True
+        for x, a, z in zip(h[again].tolist(), start[first[again]].tolist(), end[first[again]].tolist(), strict=True):
+            if x not in self.texts:
+                self.texts[x] = whole[a:z]
+        self.runs.append((h, n))
+        self.rows += len(h)
+
+    def full(self) -> bool:
+        return self.rows > KEPT or len(self.texts) > NAMED
+
+    def taken(self) -> list[pa.Array]:
+        """Words seen twice or more and their counts so far, from which it starts anew."""
+        h, n = (np.concatenate([np.zeros(0, t), *(x[k] for x in self.runs)]) for k, t in enumerate((np.uint64, np.int64)))
+        h, of = np.unique(h, return_inverse=True)
+        n = np.bincount(of, n, len(h)).astype(np.int64)[np.searchsorted(h, np.fromiter(self.texts, np.uint64, len(self.texts)))]
+        words = pa.array(list(self.texts.values()), pa.string()).filter(pa.array(n > 1))
+        self.__init__()
+        return [words, pa.array(n[n > 1])]
+
+
 def _edges(words: DataFrame, pieces: Pieces, keys: list[str]) -> DataFrame:
     """The lattice's edges: every substring of each word ``w`` that is a piece, and each character, with the keys of its
     word; the word's other columns go with its first edge only.  Rows don't move."""

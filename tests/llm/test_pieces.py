@@ -103,3 +103,24 @@ def test_words_are_encoded_by_themselves(model, text):
         assert "".join(words) == ("▁" + text.replace(" ", "▁") if text else "")
         # a line feed is in no piece: the space and the byte before a word are taken off again
         assert sum((model.encode("\n" + w)[2:] for w in words), []) == model.encode(text)
+
+
+def test_words_of_different_runs_of_texts_are_frequent(spark, monkeypatch):
+    monkeypatch.setattr(P, "RUN", 8)
+    p = load_pieces(PIECE_MODEL)
+    docs = spark.createDataFrame([(t,) for t in ["the quick", "a lazy dog", "the lazy", "quick once"]], "text string").coalesce(1)
+    found = {r["w"]: r["n"] for r in P._often(docs, "text", p).collect()}
+    assert found.pop(None) == sum(1 + len(t) for t in ["the quick", "a lazy dog", "the lazy", "quick once"])
+    assert {w.strip(P.SPACE): n for w, n in found.items()} == {"the": 2, "quick": 2, "lazy": 2}
+
+
+def test_counts_that_are_given_up_on_the_way_add_up(spark, monkeypatch):
+    monkeypatch.setattr(P, "NAMED", 2)
+    words = P.Repeated()
+    cutter, text = P.Cutter(load_pieces(PIECE_MODEL).neighbours), "the lazy dog saw the lazy dog once"
+    for _, whole, start, end, h, _ in cutter.words([text]):
+        words.add(whole, start, end, h)
+    assert words.full()
+    found, n = words.taken()
+    assert {w.strip(P.SPACE): k for w, k in zip(found.to_pylist(), n.to_pylist(), strict=True)} == {"the": 2, "lazy": 2, "dog": 2}
+    assert not words.full() and [len(x) for x in words.taken()] == [0, 0]
