@@ -19,3 +19,20 @@ def test_grams_hash_as_spans_of_equal_bytes_do():
     grams = gram_hashes(data, 8)
     assert grams[0] == grams[9] and len(set(grams.tolist())) == len(grams) - 1 and len(gram_hashes(data[:3], 8)) == 0
     assert hash_spans(data, np.array([0, 9]), np.array([8, 17])).tolist()[0] == hash_spans(data, np.array([9]), np.array([17]))[0]
+
+
+def test_hashing_takes_little_memory_beside_the_texts():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from shardflow.llm.common import texts_of, word_hashes
+
+    texts = pa.array([f"word{k} and some more words " * 80 for k in range(2000)])
+    tracemalloc.start()
+    try:
+        n = sum(len(word_hashes(data, offsets)[0]) for _, data, offsets in texts_of(texts))
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20  # powers of hashes are kept
+    finally:
+        tracemalloc.stop()
+    assert n == 2000 * 80 * 5
