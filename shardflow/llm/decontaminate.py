@@ -35,8 +35,8 @@ REPEATS, STEPS, SAMPLES, EARLY = 6, 24, 16, 6
 #: Items with so many words to begin at must be met from two of them, from three, and so on.
 MANY = (8, 24, 34, 44)
 TABLE_BITS, GRAM_BITS = 22, 13
-#: Items of so many words of 64 characters are verified many at once.
-TOGETHER = 16
+#: Items of so many words of 64 characters are verified many at once, with about so many words of masks.
+TOGETHER, PART = 16, 1 << 18
 MATCHES = "array<struct<item_id:bigint,distance:int,first_word:int>>"
 
 
@@ -108,37 +108,47 @@ def distance(item: str, window: str) -> int:
 
 
 def locate_all(items: list[np.ndarray], which: np.ndarray, chars: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``locate`` of items[which[k]] in chars[low[k]:high[k]] for all k at once.  An item is a column of words of 64 bits,
-    of the same number for all items; words pass on whether the distance at their last row rises or falls."""
+    """``locate`` of items[which[k]] in chars[low[k]:high[k]] for all k at once, whatever their lengths.  The items of many
+    windows are one long number, each with a bit to spare for what its sum carries over."""
     length = np.array([len(x) for x in items])
-    words, one, top = -(-int(length.max()) // 64), np.uint64(1), np.uint64(63)
+    words, one = length // 64 + 1, np.uint64(1)
     owner, place = np.repeat(np.arange(len(items)), length), _spans(np.zeros(len(items), np.int64), length)
     keys, row = np.unique(owner << 21 | np.concatenate(items), return_inverse=True)
-    masks = np.zeros((len(keys) + 1, words), np.uint64)  # where an item has a character; the last row is that of any other
-    np.bitwise_or.at(masks, (row, place >> 6), one << (place & 63).astype(np.uint64))
-    width, size = high - low, length[which]
-    steps = int(width.max())
-    key = which << 21 | chars[np.minimum(low + np.arange(steps)[:, None], len(chars) - 1)]
-    row = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    row[keys[row] != key] = len(keys)
-    bottom, none = ((size - 1) & 63).astype(np.uint64), np.zeros(len(which), np.uint64)
-    plus, minus = [~none for _ in range(words)], [none for _ in range(words)]
-    score, best, end = size.copy(), size.copy(), np.zeros(len(which), np.int64)
-    for t in range(steps):
-        masked, rises, falls = masks[row[t]], none, none
-        for j in range(words):
-            x, p = masked[:, j], plus[j]
-            either = x | minus[j]
-            x = x | falls
-            d = (((x & p) + p) ^ p) | x
-            up, down = minus[j] | ~(d | p), p & d
-            if j == words - 1:
-                score = score + (up >> bottom & one).astype(np.int64) - (down >> bottom & one).astype(np.int64)
-            shifted_up, shifted_down = up << one | rises, down << one | falls
-            rises, falls = up >> top, down >> top
-            plus[j], minus[j] = shifted_down | ~(either | shifted_up), shifted_up & either
-        better = (score < best) & (t < width)
-        best[better], end[better] = score[better], t + 1
+    begin = np.cumsum(np.append(0, words[keys >> 21]))
+    masks = np.zeros(begin[-1] + words.max(), np.uint64)  # where an item has a character; the last are those of any other
+    np.bitwise_or.at(masks, begin[row] + (place >> 6), one << (place & 63).astype(np.uint64))
+    width, best, end = high - low, length[which], np.zeros(len(which), np.int64)
+    # windows of about the same width, as many as have some MB of masks
+    order = np.argsort(width, kind="stable")
+    bounds = np.flatnonzero(np.diff(np.cumsum((words[which] * width)[order]) // PART)) + 1
+    for part in np.split(order, bounds) if len(order) else ():
+        size, n, steps = length[which[part]], words[which[part]], int(width[part].max())
+        at = np.cumsum(n) - n
+        key = which[part] << 21 | chars[np.minimum(low[part] + np.arange(steps)[:, None], len(chars) - 1)]
+        spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        spot = np.where(keys[spot] == key, begin[spot], begin[-1])
+        within = _spans(np.zeros(len(n), np.int64), n)
+        raw = masks[np.repeat(spot, n, axis=1) + within].tobytes()
+        last, bit = at + (size - 1 >> 6), (size - 1 & 63).astype(np.uint64)
+        tops = np.zeros(n.sum(), np.uint64)
+        tops[last] = one << bit
+        ones = np.where(within < np.repeat(size >> 6, n), ~np.uint64(0), np.uint64(0))
+        ones[at + (size >> 6)] = (one << (size & 63).astype(np.uint64)) - one
+        full, top = (int.from_bytes(x.tobytes(), "little") for x in (ones, tops))
+        plus, minus, rises, falls, step = full, 0, [], [], 8 * len(tops)
+        for t in range(0, steps * step, step):
+            x = int.from_bytes(raw[t : t + step], "little")
+            d = (((x & plus) + plus) ^ plus) | x | minus
+            up, down = minus | ((d | plus) & full ^ full), plus & d
+            rises.append((up & top).to_bytes(step, "little"))
+            falls.append((down & top).to_bytes(step, "little"))
+            up, down = up << 1 & full, down << 1 & full
+            plus, minus = down | ((d | up) & full ^ full), up & d
+        rise, fall = ((np.frombuffer(b"".join(x), np.uint64).reshape(steps, -1)[:, last] >> bit & one).astype(np.int64) for x in (rises, falls))
+        score = np.where(np.arange(steps)[:, None] < width[part], size + np.cumsum(rise - fall, axis=0), size)
+        first = np.argmin(score, axis=0)
+        least = score[first, np.arange(len(part))]
+        best[part], end[part] = least, np.where(least < size, first + 1, 0)
     return best, end
 
 
@@ -286,18 +296,14 @@ class ItemIndex:
         return out
 
     def _nearest(self, chars: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``locate`` for many windows: together for items of as many words of bits, one by one for long items."""
+        """``locate`` for many windows: together, but one by one for long items."""
         best, end = self.size[item], np.zeros(len(item), np.int64)
-        words = -(-best // 64)
-        for n in np.unique(words).tolist():
-            same = np.flatnonzero(words == n)
-            if n > TOGETHER:
-                for k in same.tolist():
-                    best[k], end[k] = locate(self.chars[item[k]].tobytes().decode("utf-32-le"), chars[low[k] : high[k]].tobytes().decode("utf-32-le"))
-                continue
-            for part in np.array_split(same, -(-len(same) * n // 4096)):
-                own, which = np.unique(item[part], return_inverse=True)
-                best[part], end[part] = locate_all([self.chars[i] for i in own], which, chars, low[part], high[part])
+        long = best > 64 * TOGETHER
+        for k in np.flatnonzero(long).tolist():
+            best[k], end[k] = locate(self.chars[item[k]].tobytes().decode("utf-32-le"), chars[low[k] : high[k]].tobytes().decode("utf-32-le"))
+        if not long.all():
+            own, which = np.unique(item[~long], return_inverse=True)
+            best[~long], end[~long] = locate_all([self.chars[i] for i in own], which, chars, low[~long], high[~long])
         return best, end
 
     def _verify(self, out, first, chars, bounds, at, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:

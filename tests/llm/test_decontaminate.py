@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from shardflow.llm import decontaminate as decontamination
 from shardflow.llm.decontaminate import ItemIndex, decontaminate, distance, locate, locate_all, with_matches
 
 from .conftest import WORDS
@@ -41,6 +42,26 @@ def test_distances_of_many_windows():
         assert list(zip(best, end, strict=True)) == [locate(items[i], text[a:b]) for i, a, b in zip(which, low, high, strict=True)]
 
 
+def test_windows_of_all_items_are_located_together(monkeypatch):
+    """Items of any lengths in one call, and one call for each run of texts."""
+    r = random.Random(10)
+    items = ["".join(r.choice("abc é\U0001f600") for _ in range(n)) for n in (1, 2, 63, 64, 65, 127, 128, 200, 320)]
+    text = "".join(r.choice("abcd é") + r.choice([x[: r.randrange(330)] for x in items]) for _ in range(60))
+    which = np.array([r.randrange(len(items)) for _ in range(400)])
+    low = np.array([r.randrange(len(text) - 1) for _ in which])
+    high = np.array([min(len(text), a + 1 + r.randrange(450)) for a in low])
+    points = lambda x: np.frombuffer(x.encode("utf-32-le"), np.uint32)
+    for part in (1 << 18, 2000):
+        monkeypatch.setattr(decontamination, "PART", part, raising=False)
+        best, end = locate_all([points(x) for x in items], which, points(text), low, high)
+        assert list(zip(best, end, strict=True)) == [locate(items[i], text[a:b]) for i, a, b in zip(which, low, high, strict=True)]
+    calls = []
+    monkeypatch.setattr(decontamination, "locate_all", lambda *x: calls.append(1) or locate_all(*x))
+    passages = [(k, " ".join(word(r) for _ in range(n))) for k, n in enumerate((15, 30, 45, 60))]
+    assert [[m[0] for m in x] for x in ItemIndex(passages, 20).matches(pa.array([t for _, t in passages]))] == [[0], [1], [2], [3]]
+    assert len(calls) == 1
+
+
 def word(r):
     return r.choice(WORDS) + str(r.randrange(200))
 
