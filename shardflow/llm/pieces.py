@@ -40,6 +40,8 @@ from shardflow.llm.common import bounded_batches, mix, powers, stored, without
 
 SPACE = "▁"
 FREQUENT = 1 << 19
+#: Words of these that are hashed at a time.
+HASHED = 1 << 14
 #: Characters that are looked at together, and those whose words a task gets; the most tasks; the most words grouped without a sort.
 RUN, TASK_CHARS, TASKS, GROUPS = 1 << 18, 1 << 21, 20_000, 100_000
 #: Hashes and counts that a task keeps before it adds them up; words that it keeps.
@@ -319,9 +321,12 @@ class Frequent:
         ids = pa.concat_arrays(rows["ids"].chunks) if rows.num_rows else pa.array([], pa.list_(pa.int32()))
         self.at = ids.offsets.to_numpy().astype(np.int32)
         self.ids = ids.flatten().to_numpy().astype(np.int32)
-        words = rows["w"].to_pylist()
-        end = np.cumsum([len(w) for w in words]).astype(np.int64)
-        h = _hashes(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), np.concatenate([[0], end[:-1]]).astype(np.int64)[: len(end)], end)
+        # some thousand words at a time: the driver makes this table, and hashes take some 60 bytes a character
+        h = np.zeros(rows.num_rows, np.uint64)
+        for k in range(0, rows.num_rows, HASHED):
+            words = rows["w"].slice(k, HASHED).to_pylist()
+            end = np.cumsum([len(w) for w in words])
+            h[k : k + HASHED] = _hashes(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), np.append(0, end[:-1]), end)
         order = np.argsort(h, kind="stable")
         self.hashes, self.numbers = h[order], order.astype(np.int32)
         self.places = np.searchsorted(self.hashes, np.arange((1 << 18) + 1, dtype=np.uint64) << np.uint64(46)).astype(np.int32) if len(h) else np.zeros((1 << 18) + 1, np.int32)

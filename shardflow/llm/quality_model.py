@@ -17,12 +17,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardflow.llm.common import bounded_batches, labelled, run_hashes, texts_of
 
 BITS = 16
+#: Features that are fitted at a time.
+RUN = 1 << 17
 
 
 def features(column: pa.Array):
@@ -55,13 +58,15 @@ def fit(index: np.ndarray, value: np.ndarray, bounds: np.ndarray, grades: np.nda
     w, share = np.zeros(1 << BITS), np.array([(y > j).mean() for j in range(k)])
     theta = np.log((1 - share) / share)
     free = np.concatenate([theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))])
-    row = np.repeat(np.arange(n), np.diff(bounds))
+    # runs of rows with about RUN features: the driver holds what it works on for one of them at a time
+    edges = np.unique([0, *np.searchsorted(bounds, np.arange(0, bounds[-1], RUN)), n])
+    runs = [(slice(a, b), slice(bounds[a], bounds[b]), np.repeat(np.arange(b - a, dtype=np.int32), np.diff(bounds[a : b + 1]))) for a, b in zip(edges, edges[1:], strict=False)]
     m = [np.zeros_like(w), np.zeros_like(free)]
     v = [np.zeros_like(w), np.zeros_like(free)]
     for t in range(1, steps + 1):
         gaps = np.exp(free[1:])
         theta = np.concatenate([free[:1], free[0] + np.cumsum(gaps)])
-        score = np.bincount(row, w[index] * value, n)
+        score = np.concatenate([np.bincount(row, w[index[at]] * value[at], rows.stop - rows.start) for rows, at, row in runs])
         edge = np.concatenate([[-np.inf], theta, [np.inf]])
         upper, lower = (1 / (1 + np.exp(-np.clip(edge[y + d] - score, -40, 40))) for d in (1, 0))
         p = np.maximum(upper - lower, 1e-12)
@@ -69,7 +74,10 @@ def fit(index: np.ndarray, value: np.ndarray, bounds: np.ndarray, grades: np.nda
         g_score = (d_upper - d_lower) / n
         g_theta = np.array([(-(d_upper[y == j]).sum() + (d_lower[y == j + 1]).sum()) / n for j in range(k)])
         g_free = np.concatenate([[g_theta.sum()], gaps * np.cumsum(g_theta[::-1])[::-1][1:]])
-        grads = [np.bincount(index, value * g_score[row], 1 << BITS) + penalty * w, g_free]
+        g_w = np.zeros_like(w)
+        for rows, at, row in runs:
+            np.add.at(g_w, index[at], value[at] * g_score[rows][row])
+        grads = [g_w + penalty * w, g_free]
         for j, (x, g) in enumerate(zip((w, free), grads, strict=True)):
             m[j] = 0.9 * m[j] + 0.1 * g
             v[j] = 0.999 * v[j] + 0.001 * g * g
@@ -90,14 +98,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
                 value.append(x.astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(index, pa.binary()), pa.array(value, pa.binary()), b.column(1)], ["index", "value", "grade"])
 
-    found = rows.mapInArrow(run, "index binary, value binary, grade double").toArrow().to_pandas()
-    if found["grade"].nunique() < 2:
+    found = rows.mapInArrow(run, "index binary, value binary, grade double").toArrow()
+    grades = found["grade"].to_numpy()
+    if len(np.unique(grades)) < 2:
         return None
-    found = found.iloc[np.argsort([bytes(x) for x in found["index"]], kind="stable")]  # the same order however rows arrive
-    index = [np.frombuffer(x, np.int32) for x in found["index"]]
-    value = np.concatenate([np.frombuffer(x, np.float32) for x in found["value"]]).astype(float)
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in index])])
-    return fit(np.concatenate(index).astype(np.int64), value, bounds, found["grade"].to_numpy())
+    order = np.array(sorted(range(len(grades)), key=found["index"].to_pylist().__getitem__))  # the same order however rows arrive
+    index, value = (np.frombuffer(b"".join(found[c].take(pa.array(order)).to_pylist()), t) for c, t in (("index", np.int32), ("value", np.float32)))
+    size = pa.compute.binary_length(found["index"]).to_numpy()[order] // 4
+    del found
+    return fit(index, value, np.append(0, np.cumsum(size)), grades[order])
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel | None, wanted: float = 1.0, least: float = 0.3, text: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """Models: held-out accuracy, exact sums against brute force, odd rows."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -210,3 +211,14 @@ def test_no_pair_is_left_out(spark):
     found = toxicity._bigrams(_fit_models(pairs)["files"]).counts(k % 1009 * 250, k // 1009)
     assert (found == [k % 7 + 20000 * (k % 100003 == 0), k % 3 + 16380 * (k % 100019 == 0)]).all()
     assert not toxicity._bigrams(_fit_models(pairs)["files"]).counts(k[:999] % 1009 * 250 + 1, k[:999]).any()
+
+
+def test_the_fit_takes_little_more_memory_than_its_features():
+    r = np.random.default_rng(5)
+    bounds = np.append(0, np.cumsum(r.integers(1, 1000, 2000)))
+    index, value = r.integers(0, 1 << quality_model.BITS, bounds[-1]).astype(np.int32), r.random(bounds[-1]).astype(np.float32)
+    tracemalloc.start()
+    quality_model.fit(index, value, bounds, r.integers(0, 3, 2000), steps=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 * len(index), most

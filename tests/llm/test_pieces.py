@@ -1,5 +1,8 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -124,3 +127,17 @@ def test_counts_that_are_given_up_on_the_way_add_up(spark, monkeypatch):
     found, n = words.taken()
     assert {w.strip(P.SPACE): k for w, k in zip(found.to_pylist(), n.to_pylist(), strict=True)} == {"the": 2, "lazy": 2, "dog": 2}
     assert not words.full() and [len(x) for x in words.taken()] == [0, 0]
+
+
+def test_the_table_of_words_is_hashed_in_parts():
+    """The driver makes it: beside the table itself it takes some MB, however many words there are."""
+    words = [f"{k:024}" for k in range(100_000)]
+    rows = pa.table({"w": words, "n": pa.array(range(100_000), pa.int64()), "ids": pa.array([[k] for k in range(100_000)], pa.list_(pa.int32()))})
+    tracemalloc.start()
+    table = P.Frequent(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64e6, most
+    text = np.frombuffer("".join(words[::7]).encode("utf-32-le"), np.uint32)
+    at = np.arange(0, len(text), 24)
+    assert (table.find(P._hashes(text, at, at + 24)) == 99_999 - np.arange(0, 100_000, 7)).all()
