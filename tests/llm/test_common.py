@@ -14,6 +14,14 @@ def test_filters_miss_no_key(spark):
     assert not in_filter(hash_filter(keys.limit(0)), np.arange(1000, dtype=np.int64) << 40).any()
 
 
+def test_a_filter_of_many_parts_is_few_jobs(spark):
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    keys, before = spark.range(1 << 20).select(F.xxhash64("id").alias("k")), jobs()
+    found = hash_filter(keys)
+    assert len(found) == 1 << 21 and jobs() - before < 10
+    assert filtered_by(keys, "k", found).count() == 1 << 20
+
+
 def test_grams_hash_as_spans_of_equal_bytes_do():
     data = np.frombuffer(b"abcdefgh_abcdefgh", np.uint8)
     grams = gram_hashes(data, 8)
