@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -224,12 +225,18 @@ def _replicas(text: str) -> int:
     return reduce(lambda a, x: a * x[1] if x[0] == "1" else a, _dims_sql(text), 1)
 
 
+def _undivided(events: int) -> str:
+    """The source of "nothing divides" as its name says, for any number of events: 128 divides 6,000,000 of them, and among
+    64 replicas they could share the sending.  Then it has the next number of replicas that doesn't divide them."""
+    return MOVES["nothing divides"][1].replace("1/64", f"1/{next(r for r in count(64) if events % (2 * r))}")
+
+
 @_query("classify_matrix", " UNION ALL ".join(f"SELECT '{name}' AS name, '{move}' AS move, (SELECT count(*) FROM {_SQL[rank]}) * {_replicas(dst)} AS cells" for name, (rank, _, dst, move) in MOVES.items()))
 def classify_matrix(spark: SparkSession, d: str) -> DataFrame:
     """The class of each move, and the cells that its destination shards get together."""
-    out = []
+    out, undivided = [], _undivided(table(spark, d, "events").count())
     for rank, make in _ARRAYS.items():
-        mine = [(name, _layout(spark, d, src), _layout(spark, d, dst)) for name, (r, src, dst, _) in MOVES.items() if r == rank]
+        mine = [(name, _layout(spark, d, undivided if name == "nothing divides" else src), _layout(spark, d, dst)) for name, (r, src, dst, _) in MOVES.items() if r == rank]
         n = make(spark, d, LAYOUTS["full"][1] if rank == 2 else E1 if rank == 1 else MOVES["increase 3d"][1]).cells.agg(F.count("*").alias("n"))
         out.append(_each(n, [(name, classify(a, b).value, b.replicas) for name, a, b in mine], ["name", "move", "copies"], F.col("name"), F.col("move"), (F.col("n") * F.col("copies")).alias("cells")))
     return reduce(DataFrame.union, out)
