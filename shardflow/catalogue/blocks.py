@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from shardflow.catalogue.arrays import (
     _CUBE_SQL, _EVENTS_SQL, _STATS, _VECTORS_SQL, E1, E3, V2, Layout, _cube, _dims_sql, _events, _joined_sql, _layout, _list, _query, _real, _shards_sql, _tiles_sql, _vectors,
 )
-from shardflow.operators import BlockedArray, matmul
+from shardflow.operators import BlockedArray, matmul, matmul_kernel
 from shardflow.operators.gang import gang
 from shardflow.operators.totals import totals
 from shardflow.sources.arrays import table
@@ -156,17 +156,26 @@ def matmul_gram(spark: SparkSession, d: str) -> DataFrame:
     return matmul(v.transposed(), v, _layout(spark, d, "64/2@0, 64/2@1")).to_cells().cells
 
 
+def _ranges_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block its number of cells, their sum, the least and the largest."""
+    for b in batches:
+        vals = b.column(3)
+        ends, flat = vals.offsets.to_numpy(), vals.values.to_numpy()
+        parts = [flat[ends[k] : ends[k + 1]] for k in range(b.num_rows)]
+        columns = [[len(p) for p in parts], *[[int(f(p)) for p in parts] for f in (np.sum, np.min, np.max)]]
+        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in columns]], ["shard", "n", "s", "low", "high"])
+
+
 @_query(
     "matmul_vvt",
     f"""WITH c AS (SELECT a.i0, b.i0 AS i1, sum(a.v * b.v) AS v FROM {_WHOLE_VECTORS_SQL} a JOIN {_WHOLE_VECTORS_SQL} b ON a.i1 = b.i1 GROUP BY a.i0, b.i0)
  {_shards_sql("c", "V/4@0, V/2@1", "count(*)::BIGINT AS cells, sum(v)::BIGINT AS total, min(v)::BIGINT AS v_min, max(v)::BIGINT AS v_max").replace("FROM c c", "FROM c")}""",
 )
 def matmul_vvt(spark: SparkSession, d: str) -> DataFrame:
-    """Every vector with every vector, by the tiles of the product."""
+    """Every vector with every vector, by the tiles of the product: cells are totalled in the tasks that make them."""
     v = _whole_vectors(spark, d, "V/4@0, 64/2@1")
-    product = matmul(v, v.transposed(), _layout(spark, d, "V/4@0, V/2@1")).by_shard()
-    add = F.aggregate("vals", F.lit(0).cast("long"), lambda a, v: a + v)
-    return product.groupBy("shard").agg(F.sum(F.size("vals").cast("long")).alias("cells"), F.sum(add).alias("total"), F.min(F.array_min("vals")).alias("v_min"), F.max(F.array_max("vals")).alias("v_max"))
+    merge = [F.sum("n").alias("cells"), F.sum("s").alias("total"), F.min("low").alias("v_min"), F.max("high").alias("v_max")]
+    return matmul_kernel(v, v.transposed(), _layout(spark, d, "V/4@0, V/2@1"), _ranges_of_blocks, "shard long, n long, s long, low long, high long", merge)
 
 
 @_query("matmul_chain", f"""WITH g AS (SELECT a.i1 AS i0, b.i1, sum(a.v * b.v) AS v FROM {_WHOLE_VECTORS_SQL} a JOIN {_WHOLE_VECTORS_SQL} b ON a.i0 = b.i0 GROUP BY a.i1, b.i1)

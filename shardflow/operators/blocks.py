@@ -183,6 +183,8 @@ class BlockedArray:
 
 #: Cells of partial products that a task holds before it hands them on.
 HELD_CELLS = 1 << 20
+#: Inner places and cells of the rows, and of the columns, that a task has whole; places of a product's side made at a time.
+INNER, PANEL_CELLS, SIDE = 1 << 12, 1 << 20, 256
 
 
 def _batches(found: dict, kind) -> Iterator[pa.RecordBatch]:
@@ -200,19 +202,140 @@ def _block(batch: pa.RecordBatch, first: int, row: int, dtype) -> tuple[list[int
     return lo, batch.column(first + 2)[row].values.to_numpy(zero_copy_only=False).astype(dtype).reshape(size)
 
 
+def _checked(a: BlockedArray, b: BlockedArray, dst: Sharding) -> tuple[int, int, int]:
+    """Rows, inner places and columns of a product."""
+    (m, inner), (again, n) = ([x.layout.dims[k].size for k in x.layout.real] for x in (a, b))
+    if inner != again:
+        raise ValueError(f"inner sizes {inner} and {again} differ")
+    dst.validate()
+    sizes = [dst.dims[k].size for k in dst.real]
+    if sizes != [m, n]:
+        raise ValueError(f"the product hasn't the sizes {sizes}")
+    return m, inner, n
+
+
+def _wide(m: int, inner: int, n: int) -> bool:
+    """Whether a product has more cells than its factors together, and tasks can have rows and columns of these whole."""
+    return inner <= INNER and m * n > inner * (m + n)
+
+
+def _kinds(a: BlockedArray, b: BlockedArray) -> tuple:
+    """Whole numbers stay whole: the types of products in NumPy, Arrow and Spark, and the product's own."""
+    whole = not (a.dtype[0] in "FBC" or b.dtype[0] in "FBC")
+    return (np.int64, pa.int64(), "bigint", "S64") if whole else (np.float64, pa.float64(), "double", "F64")
+
+
+def _dealt(a: BlockedArray, b: BlockedArray, sizes: tuple[int, int, int], grid: tuple[int, int]) -> DataFrame:
+    """Rows (lo, size, vals, right) with a partition for each place of a grid over the product: the blocks of a range of a's
+    rows and of a range of b's columns, of about ``PANEL_CELLS`` cells at most.  The grid grows with the sizes."""
+    m, inner, n = sizes
+    rows, columns = (max(g, -(-x * inner // PANEL_CELLS)) for g, x in zip(grid, (m, n), strict=True))
+    steps = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    at = lambda x, k, size: _div(F.col("lo")[x] * k, size).cast("int")
+    left = a.pieces.select("lo", "size", "vals", F.lit(False).alias("right"), at(0, rows, m).alias("r"), steps(columns).alias("c"))
+    right = b.pieces.select("lo", "size", "vals", F.lit(True).alias("right"), steps(rows).alias("r"), at(1, columns, n).alias("c"))
+    return left.unionByName(right).withColumn("place", F.col("r") * columns + F.col("c")).repartitionById(rows * columns, F.col("place")).select("lo", "size", "vals", "right")
+
+
+def _panel(blocks: list, inner: int, dtype) -> tuple[int, np.ndarray, np.ndarray]:
+    """The first row of some blocks, their rows (whole in the inner dimension), and a flag for each that a block has."""
+    first, end = min(lo[0] for lo, _ in blocks), max(lo[0] + len(x) for lo, x in blocks)
+    out, there = np.zeros((end - first, inner), dtype), np.zeros(end - first, bool)
+    for (i, k), x in blocks:
+        out[i - first : i - first + len(x), k : k + x.shape[1]] += x
+        there[i - first : i - first + len(x)] = True
+    return first, out, there
+
+
+def _steps(first: int, there: np.ndarray, extent: int) -> list[tuple[int, int]]:
+    """Ranges of at most ``SIDE`` places that are there, cut where tiles end."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], there.astype(np.int8), [0]]))) + first
+    out = []
+    for low, end in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        while low < end:
+            stop = min(end, low + SIDE, (low // extent + 1) * extent)
+            out.append((low, stop))
+            low = stop
+    return out
+
+
+def _exact_in_doubles(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether no sum of products of rows of whole numbers leaves what doubles hold exactly."""
+    top = [max(int(z.max(initial=0)), -int(z.min(initial=0))) for z in (x, y)]
+    return top[0] * top[1] * x.shape[1] < 1 << 53
+
+
+def _products(batches: Iterator[pa.RecordBatch], inner: int, dtype, dst: Sharding) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Each block of the product of a task's rows and columns: its first row and column, and its cells, all of one tile."""
+    sides: tuple[list, list] = ([], [])
+    for batch in batches:
+        for r in range(batch.num_rows):
+            lo, x = _block(batch, 0, r, dtype)
+            if batch.column(3)[r].as_py():
+                sides[1].append((lo[::-1], x.T))
+            else:
+                sides[0].append((lo, x))
+    if not all(sides):
+        return
+    (i0, x, rows), (j0, y, columns) = (_panel(side, inner, dtype) for side in sides)
+    if dtype is np.int64 and _exact_in_doubles(x, y):
+        x, y = x.astype(np.float64), y.astype(np.float64)
+    extents = [dst.dims[k].extent for k in dst.real]
+    across = _steps(j0, columns, extents[1])
+    for i, end in _steps(i0, rows, extents[0]):
+        for j, stop in across:
+            yield i, j, (x[i - i0 : end - i0] @ y[j - j0 : stop - j0].T).astype(dtype, copy=False)
+
+
+def matmul_kernel(a: BlockedArray, b: BlockedArray, dst: Sharding, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, merge: Sequence[Column], grid: tuple[int, int] = (4, 4)) -> DataFrame:
+    """An opaque kernel over the blocks of a product by shard, as :meth:`BlockedArray.kernel` has it.
+
+    Where the product is larger than its factors, ``run`` gets each block in the task that makes it, one at a time, and no
+    cell of the product is written, shuffled or handed to another process: only what ``run`` gives is."""
+    sizes = _checked(a, b, dst)
+    if not _wide(*sizes):
+        return matmul(a, b, dst, grid).kernel(run, schema, merge)
+    dtype, kind, _, _ = _kinds(a, b)
+    dims = [(dst.dims[k].extent, dst.dims[k].sharding, dst.stride(k)) for k in dst.real]
+    copies = [0]
+    for k, d in enumerate(dst.dims):
+        if d.replica:
+            copies = [x + r * dst.stride(k) for x in copies for r in range(d.sharding)]
+
+    def blocks(batches):
+        for i, j, z in _products(batches, sizes[1], dtype, dst):
+            tile = [x // extent for x, (extent, _, _) in zip((i, j), dims, strict=True)]
+            if any(t >= pieces for t, (_, pieces, _) in zip(tile, dims, strict=True)):
+                continue  # behind the last tiles: no shard holds it
+            shard = sum(t * stride for t, (_, _, stride) in zip(tile, dims, strict=True))
+            vals = pa.ListArray.from_arrays(pa.array([0, z.size], pa.int32()), pa.array(z.ravel(), kind))
+            for c in copies:
+                yield pa.RecordBatch.from_arrays([pa.array([shard + c], pa.int64()), pa.array([[i, j]], pa.list_(pa.int64())), pa.array([list(z.shape)], pa.list_(pa.int64())), vals], ["shard", "lo", "size", "vals"])
+
+    return _dealt(a, b, sizes, grid).mapInArrow(lambda batches: run(blocks(batches)), schema).groupBy("shard").agg(*merge)
+
+
 def matmul(a: BlockedArray, b: BlockedArray, dst: Sharding, grid: tuple[int, int] = (4, 4)) -> BlockedArray:
     """The product of two 2-d arrays as blocks of ``dst``.
 
-    Blocks meet by where they are in the inner dimension (both must be cut alike there) and in a grid of tasks over the
-    result: a's blocks go to a row of the grid, b's to a column, so that an inner place that all blocks share is dealt
+    A product with more cells than its factors, of at most ``INNER`` inner places, is made by a grid of tasks: each has
+    the rows of its place and the columns of its place whole, so that nothing of the product is shuffled.
+
+    Otherwise blocks meet by where they are in the inner dimension (both must be cut alike there) and in a grid of tasks over
+    the result: a's blocks go to a row of the grid, b's to a column, so that an inner place that all blocks share is dealt
     over the grid.  Tasks add products of equal result blocks while they hold at most ``HELD_CELLS`` cells; what is left
     meets by result block, sorted, and is added as it streams.  Whole numbers stay whole (64 bits).
     """
-    whole = not (a.dtype[0] in "FBC" or b.dtype[0] in "FBC")
-    dtype, kind, spark_type = (np.int64, pa.int64(), "bigint") if whole else (np.float64, pa.float64(), "double")
-    inner = [a.layout.dims[a.layout.real[1]].size, b.layout.dims[b.layout.real[0]].size]
-    if inner[0] != inner[1]:
-        raise ValueError(f"inner sizes {inner[0]} and {inner[1]} differ")
+    sizes = _checked(a, b, dst)
+    dtype, kind, spark_type, name = _kinds(a, b)
+    schema = f"lo array<bigint>, size array<bigint>, vals array<{spark_type}>"
+    if _wide(*sizes):
+
+        def made(batches):
+            for i, j, z in _products(batches, sizes[1], dtype, dst):
+                yield from _batches({(i, j, *z.shape): z}, kind)
+
+        return BlockedArray(_dealt(a, b, sizes, grid).mapInArrow(made, schema), dst, name)
     rows, columns = grid
     steps = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = a.pieces.select(F.col("lo").alias("alo"), F.col("size").alias("asize"), F.col("vals").alias("avals"), F.col("lo")[1].alias("k"), F.pmod(F.xxhash64(F.col("lo")[0]), F.lit(rows)).cast("int").alias("r"), steps(columns).alias("c"))
@@ -256,11 +379,5 @@ def matmul(a: BlockedArray, b: BlockedArray, dst: Sharding, grid: tuple[int, int
         if key is not None:
             yield from _batches({key: total}, kind)
 
-    schema = f"lo array<bigint>, size array<bigint>, vals array<{spark_type}>"
     summed = pairs.mapInArrow(multiply, schema).repartition("lo").sortWithinPartitions("lo").mapInArrow(add, schema)
-    dst.validate()
-    sizes = [dst.dims[k].size for k in dst.real]
-    if sizes != [a.layout.dims[a.layout.real[0]].size, b.layout.dims[b.layout.real[1]].size]:
-        raise ValueError(f"the product hasn't the sizes {sizes}")
-    return BlockedArray(cut(summed, dst), dst, "S64" if whole else "F64")
-
+    return BlockedArray(cut(summed, dst), dst, name)
